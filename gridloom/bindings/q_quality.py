@@ -33,11 +33,12 @@ def completeness(spark, sf):
 
 
 @query("missing_slots", ora(
-    "SELECT series_id, day, count(*) AS n_missing, list(p ORDER BY p)[1:10] AS missing_slots FROM (SELECT d.series_id, d.day, CAST(p.p AS INTEGER) AS p FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM raw_grid) d, "
+    "SELECT series_id, day, count(*) AS n_missing, array_to_string(list(p ORDER BY p)[1:10], ',') AS missing_slots FROM (SELECT d.series_id, d.day, CAST(p.p AS INTEGER) AS p FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM raw_grid) d, "
     f"range(96) p(p) WHERE NOT EXISTS (SELECT 1 FROM raw_grid g WHERE g.series_id = d.series_id AND CAST(g.ts AS DATE) = d.day AND {period_of('g.ts')} = p.p)) GROUP BY 1, 2", "raw_grid"))
 def missing_slots(spark, sf):
     out = quality.missing_slots(t.raw_grid(spark, sf), series=S)
-    return out.where("n_missing > 0")
+    text = F.array_join(F.col("missing_slots").cast("array<string>"), ",")
+    return out.where("n_missing > 0").withColumn("missing_slots", text)
 
 
 @query("absent_periods", ora(
@@ -147,8 +148,9 @@ def history_compare(spark, sf):
 
 
 @query("history_arrays", ora(
-    f"SELECT series_id, day, list(actual ORDER BY period) AS actual, list(predicted ORDER BY period) AS predicted FROM (SELECT s.series_id, CAST(s.ts AS DATE) AS day, {period_of('s.ts')} AS period, round_even(a.price, 1) AS actual, round_even(p.predicted_price, 1) AS predicted FROM "
+    f"SELECT series_id, day, string_agg(coalesce(CAST(actual AS VARCHAR), 'null'), ',' ORDER BY period) AS actual, string_agg(coalesce(CAST(predicted AS VARCHAR), 'null'), ',' ORDER BY period) AS predicted FROM (SELECT s.series_id, CAST(s.ts AS DATE) AS day, {period_of('s.ts')} AS period, round_even(a.price, 1) AS actual, round_even(p.predicted_price, 1) AS predicted FROM "
     "(SELECT series_id, unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-02-03 23:45:00', INTERVAL 15 MINUTE)) AS ts FROM (SELECT DISTINCT series_id FROM raw_grid)) s "
     "LEFT JOIN raw_grid a ON a.series_id = s.series_id AND a.ts = s.ts LEFT JOIN pref p ON p.series_id = s.series_id AND p.target_time = s.ts) GROUP BY 1, 2", "raw_grid", "predictions", pref=_PREF))
 def history_arrays(spark, sf):
-    return serving.history_arrays(history_compare(spark, sf), keys=S)
+    out = serving.history_arrays(history_compare(spark, sf), keys=S)
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",", "null") for c in ("actual", "predicted")})
