@@ -74,14 +74,6 @@ def mean_of_available(cols: list[Column]) -> Column:
     return F.try_divide(total, count.cast("double"))
 
 
-def mean_zero_missing(cols: list[Column]) -> Column:
-    """Mean over all given columns, a missing value counting as zero."""
-    total = F.lit(0.0)
-    for c in cols:
-        total = total + F.coalesce(c, F.lit(0.0))
-    return total / F.lit(float(len(cols)))
-
-
 def robust_weight(y: Column, scale: Column) -> Column:
     """Sample weight that falls with the size of the target."""
     return 1.0 / (1.0 + F.abs(y) / (scale + 1e-6))

@@ -61,6 +61,7 @@ def ffill(df: DataFrame, cols: Sequence[str], *, series: Sequence[str], ts: str
     each chunk is computed first, carried over the (few) chunks, and used where a
     chunk has nothing of its own before a row.
     """
+    name = lambda c: "`" + c.replace("`", "``") + "`"
     if limit is not None:
         phase = lambda w: {c: F.last(col(c), ignorenulls=True).over(w.time.rowsBetween(-limit, 0)) for c in cols}
         return chunk_windows(df, [phase], series=series, ts=ts, back=limit, minutes=minutes,
@@ -68,19 +69,18 @@ def ffill(df: DataFrame, cols: Sequence[str], *, series: Sequence[str], ts: str
     size = steps_per_day(minutes) * chunk_days
     base = df.withColumn(STEP, step_index(col(ts), minutes)).withColumn(CHUNK, F.floor(F.col(STEP) / size))
     keys = [*series, CHUNK]
-    ends = base.groupBy(*keys).agg(
-        *[F.max(F.when(col(c).isNotNull(), F.struct(F.col(STEP), col(c).alias("v")))).alias(f"_end_{c}")
-          for c in cols]
-    )
-    before = Window.partitionBy(*series).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys, *[F.last(col(f"_end_{c}"), ignorenulls=True).over(before)["v"].alias(f"_carry_{c}") for c in cols]
-    )
-    inside = Window.partitionBy(*keys).orderBy(STEP).rowsBetween(Window.unboundedPreceding, 0)
-    filled = base.join(carried, keys, "left").withColumns(
-        {c: F.coalesce(F.last(col(c), ignorenulls=True).over(inside), col(f"_carry_{c}")) for c in cols}
-    )
-    return filled.select(*[col(c) for c in df.columns])
+    ends = base.groupBy(*keys).agg(*[
+        F.expr(f"max(CASE WHEN {name(c)} IS NOT NULL THEN struct({STEP}, {name(c)} AS v) END) AS `_end_{c}`") for c in cols])
+    by = ", ".join(name(k) for k in series)
+    before = f"({'PARTITION BY ' + by if by else ''} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carried = ends.selectExpr(
+        *[name(k) for k in keys], *[f"last(`_end_{c}`, true) OVER {before}.v AS `_carry_{c}`" for c in cols])
+    inside = (f"(PARTITION BY {', '.join(name(k) for k in keys)} ORDER BY {STEP} "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    filled = set(cols)
+    return base.join(carried, keys, "left").selectExpr(*[
+        f"coalesce(last({name(c)}, true) OVER {inside}, `_carry_{c}`) AS {name(c)}" if c in filled else name(c)
+        for c in df.columns])
 
 
 def upsample(grid: DataFrame, coarse: DataFrame, cols: Sequence[str], *, series: Sequence[str] = (),

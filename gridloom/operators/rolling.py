@@ -66,6 +66,10 @@ def rolling_phases(rolls: Sequence[Roll]) -> list[Phase]:
             d = col(c).cast("double") - col(f"_mid_{c}")
             out[f"_d_{c}"] = F.sum(F.coalesce(d, F.lit(0.0))).over(upto)
             out[f"_q_{c}"] = F.sum(F.coalesce(d * d, F.lit(0.0))).over(upto)
+        return out
+
+    def blocks(w: ChunkWindows) -> dict[str, Column]:
+        out: dict[str, Column] = {}
         for fn, c, rows in sorted({(r.fn, r.column, r.rows) for r in peaks}):
             agg = F.max if fn == "max" else F.min
             out[f"_head_{fn}_{c}_{rows}"] = agg(col(c)).over(w.block(rows))
@@ -75,7 +79,8 @@ def rolling_phases(rolls: Sequence[Roll]) -> list[Phase]:
     def finish(w: ChunkWindows) -> dict[str, Column]:
         return {r.name: _finish(r, w) for r in rolls}
 
-    return [centre, running, finish]
+    # block windows have their own sort order, the other phases share one
+    return [blocks, centre, running, finish]
 
 
 def _finish(r: Roll, w: ChunkWindows) -> Column:

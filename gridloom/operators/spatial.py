@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom import dims
-from gridloom.functions.derived import mean_of_available, mean_zero_missing
 from gridloom.functions.timegrid import col
 
 MAP_TYPE = "map<string,double>"
@@ -24,8 +23,8 @@ def unpack_map(df: DataFrame, c: str = "variables", keys: Sequence[str] | None =
     """One column per declared key; the key set never depends on the data."""
     keys = list(keys) if keys is not None else dims.weather_keys()
     df = as_map(df, c)
-    rest = [col(x) for x in df.columns if x != c]
-    return df.select(*rest, *[F.try_element_at(col(c), F.lit(k)).alias(k) for k in keys])
+    rest = [f"`{x}`" for x in df.columns if x != c]
+    return df.selectExpr(*rest, *[f"try_element_at(`{c}`, '{k}') AS `{k}`" for k in keys])
 
 
 def long_to_map(df: DataFrame, *, keys: Sequence[str] = ("ts",), key: str = "key", value: str = "value") -> DataFrame:
@@ -55,10 +54,12 @@ def map_to_long(df: DataFrame, c: str = "variables") -> DataFrame:
 
 def cluster_mean_expr(variable: str, cluster: str, present: Sequence[str], zero_missing: bool = False) -> Column:
     """Equal-weight mean over the nodes of a cluster whose columns exist."""
-    cols = [col(f"{variable}_{n}") for n in dims.CLUSTERS[cluster] if f"{variable}_{n}" in present]
-    if not cols:
+    names = [f"`{variable}_{n}`" for n in dims.CLUSTERS[cluster] if f"{variable}_{n}" in present]
+    if not names:
         return F.lit(None).cast("double")
-    return mean_zero_missing(cols) if zero_missing else mean_of_available(cols)
+    total = " + ".join(f"coalesce({n}, 0D)" for n in names)
+    known = " + ".join(f"CAST({n} IS NOT NULL AS INT)" for n in names)
+    return F.expr(f"({total}) / {len(names)}D" if zero_missing else f"try_divide({total}, CAST({known} AS DOUBLE))")
 
 
 def fused_expr(variable: str, cluster_columns: dict[tuple[str, str], Column]) -> Column:

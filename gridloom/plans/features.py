@@ -22,6 +22,7 @@ from gridloom.operators.daily import curve_stats, morning_stats
 from gridloom.operators.rolling import Roll, offset_window_phases, rolling_phases
 from gridloom.operators.shift import grid_lag
 from gridloom.operators.spatial import cluster_mean_expr, fused_expr, unpack_map
+from gridloom.session import materialise
 
 H = 96
 DAY_HOURS = 24
@@ -39,7 +40,8 @@ def dense_weather(weather: DataFrame, keys: Sequence[str], *, ts: str = "ts", va
 def weather_features(weather: DataFrame, *, ts: str = "ts", keys: Sequence[str] | None = None,
                      zero_missing: bool = False) -> DataFrame:
     """Hourly weather features, now and one day ahead (`*_pp`)."""
-    keys = list(keys) if keys is not None else dims.weather_keys()
+    used = {f"{v}_{n}" for v, c in WEATHER_CLUSTERS for n in dims.CLUSTERS[c]}
+    keys = [k for k in (keys if keys is not None else dims.weather_keys()) if k in used]
     hourly = dense_weather(weather, keys, ts=ts)
     means = {f"{v}_{c}": cluster_mean_expr(v, c, keys, zero_missing) for v, c in WEATHER_CLUSTERS}
     base = hourly.select(ts, *[e.alias(n) for n, e in means.items()])
@@ -82,8 +84,8 @@ def _stack(grid: DataFrame, series: Sequence[str], ts: str) -> DataFrame:
     monthly = quantiles.month_quantiles(
         grid, {"load": (0.1, 0.9), "price": (0.05, 0.95), "solar": (0.1, 0.9), "wind": (0.1, 0.9)}, series=series, ts=ts)
     overall = grid.groupBy(*series).agg(
-        F.percentile("load", F.lit(0.7)).alias("_q_load"), F.percentile("solar", F.lit(0.3)).alias("_q_solar"),
-        F.percentile("wind", F.lit(0.3)).alias("_q_wind"))
+        F.percentile("load", F.lit(0.7)).alias("cut_load"), F.percentile("solar", F.lit(0.3)).alias("cut_solar"),
+        F.percentile("wind", F.lit(0.3)).alias("cut_wind"))
     joined = grid.withColumn("_month", F.month(col(ts))).join(monthly, [*series, "_month"], "left").drop("_month")
     return joined.join(overall, list(series), "left") if series else joined.crossJoin(F.broadcast(overall))
 
@@ -119,7 +121,8 @@ def _windows(rolls: Sequence[Roll]) -> list:
     def yesterday(w: ChunkWindows) -> dict[str, Column]:
         return {f"d2_{c}_{op}": F.lag(col(f"day_{op}_{c}"), H).over(w.time) for c, ops in curves.items() for op in ops}
 
-    return [*rolling_phases(rolls), *offset_window_phases(["wind", "hydro", "load"], 192, 200), shifts, days, yesterday]
+    # day windows first: everything after them shares the time order
+    return [days, *rolling_phases(rolls), *offset_window_phases(["wind", "hydro", "load"], 192, 200), shifts, yesterday]
 
 
 ROLLS = [
@@ -180,8 +183,8 @@ def feature_exprs(ts: Column, festival: date) -> dict[str, Column]:
           **{f"slot_{n}_pp": e for n, e in calendar.slot_flags(pp).items()})
     side = lambda x: quantiles.side_of(c(x), c(f"_lo_{x}"), c(f"_hi_{x}"))
     group("G", extreme_load=side("load"), extreme_price=side("price"), extreme_solar=side("solar"), extreme_wind=side("wind"),
-          high_load_low_solar=calendar.flag((c("load") > c("_q_load")) & (c("solar") < c("_q_solar"))),
-          high_temp_low_wind=calendar.flag((c("temp_chengdu") > 25) & (c("wind") < c("_q_wind"))))
+          high_load_low_solar=calendar.flag((c("load") > c("cut_load")) & (c("solar") < c("cut_solar"))),
+          high_temp_low_wind=calendar.flag((c("temp_chengdu") > 25) & (c("wind") < c("cut_wind"))))
     group("H", load_max_30d=c("load_max_720"), solar_ma_30d=c("solar_ma_720"), wind_ma_30d=c("wind_ma_720"),
           hydro_ma_30d=c("hydro_ma_720"))
     group("I", sim7d=lag("price", 672))
@@ -240,7 +243,8 @@ def build_features(grid: DataFrame, weather: DataFrame, *, series: Sequence[str]
         "net_load": derived.net_load(l, s, w, h), "surplus": derived.surplus(l, s, w, h),
         "renew_total": derived.renewable(s, w, h),
     })
-    hourly = weather_features(weather, keys=weather_keys, zero_missing=zero_missing)
+    # a few hundred bytes per hour, so that its size is known to the join: written once
+    hourly = materialise(weather_features(weather, keys=weather_keys, zero_missing=zero_missing), "weather")
     joined = narrow.withColumn("_hour", step_index(F.col("ts"), HOUR)).join(hourly, "_hour", "left").drop("_hour")
     # helper columns of this plan start with "_" too, so keep them through the window pass
     outlook = lambda win: {f"y_{t}": F.lead(f"{t}_orig", H).over(win.time) for t in targets}
