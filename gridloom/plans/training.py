@@ -144,7 +144,7 @@ def train_stage1(df: DataFrame, *, effort: Effort = Effort(), targets: Sequence[
             model = estimator.fit(seen.where(F.col("fold") < k))
             outs.append(_stage1_apply(model, seen.where(F.col("fold") == k), target))
         outs.append(_stage1_apply(final, rows.where(F.col("split").isin("test", "rolling")), target))
-        done = materialise(_union(outs).select(*keys, f"oof_{target}"), "oof")
+        done = materialise(_union(outs), "oof")
         rows.unpersist(), seen.unpersist()
         return (target, season), final, [done]
 
@@ -161,7 +161,7 @@ def train_stage1(df: DataFrame, *, effort: Effort = Effort(), targets: Sequence[
 
 
 def _stage1_apply(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
-    return model.transform(rows).withColumn(f"oof_{target}", F.col("raw") + F.col("anchor1"))
+    return model.transform(rows).select("series_id", "ts", (F.col("raw") + F.col("anchor1")).alias(f"oof_{target}"))
 
 
 def predict_stage1(df: DataFrame, models: dict[tuple[str, str], PipelineModel], season: str) -> DataFrame:
