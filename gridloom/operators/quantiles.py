@@ -9,29 +9,31 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.timegrid import col
 
-BUCKETS = 200
+ACCURACY = 20_000
 
 
-def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], *, by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], *, by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """Linear-interpolated quantiles of groups of any size.
 
-    `percentile` keeps all distinct values of a group in one task. Here values
-    are counted first, cut into buckets by approximate quantiles, and only the
-    buckets that hold a wanted rank are sorted. The approximate edges decide
-    which rows share a task, never the result.
+    `percentile` keeps all distinct values of a group in one task. Here equal
+    values are counted first. Approximate quantiles just below and above each
+    wanted one bracket it, about 6 / `accuracy` of a group lies between them, and
+    only these brackets are sorted. The brackets decide which rows share a task,
+    never the result: counts and extremes of every bracket are taken from the data.
 
     Returns one row per group: the keys, `n`, and `q0`, `q1`, ... in the order of `probs`.
     """
     by = list(by)
-    counts = df.where(col(c).isNotNull()).groupBy(*[col(b) for b in by], col(c).alias("_v")).agg(
-        F.count("*").alias("_cnt"))
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = counts.groupBy(*by).agg(F.percentile_approx("_v", grid, 10 * BUCKETS).alias("_edges"))
+    known = df.where(col(c).isNotNull())
+    counts = known.groupBy(*[col(b) for b in by], col(c).alias("_v")).agg(F.count("*").alias("_cnt"))
+    margin = 2.0 / accuracy
+    grid = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-margin, margin)})
+    edges = known.groupBy(*[col(b) for b in by]).agg(F.percentile_approx(col(c), grid, accuracy).alias("_edges"))
     placed = _join(counts, edges, by).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_v"))))
     buckets = placed.groupBy(*by, "_bucket").agg(
         F.sum("_cnt").alias("_in"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
-    ordered = Window.partitionBy(*by).orderBy("_bucket")  # at most BUCKETS rows per group
+    ordered = Window.partitionBy(*by).orderBy("_bucket")  # two rows per wanted quantile and one more
     buckets = buckets.withColumns({
         "_below": F.coalesce(F.sum("_in").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_n": F.sum("_in").over(Window.partitionBy(*by)),
