@@ -50,6 +50,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "ev": ([], "SELECT event_id, ts, user_id, event_type, value, round(value * 100) AS cents, "
                "CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"),
     "raw_grid": (["ev"], f"SELECT CAST(user_id % 4 AS INTEGER) AS series_id, {_bin('ts')} AS ts, {_AGGS} FROM ev GROUP BY 1, 2"),
+    "raw_fine": (["ev"], f"SELECT CAST(user_id % 50 AS INTEGER) AS series_id, {_bin('ts')} AS ts, count(*) AS n FROM ev GROUP BY 1, 2"),
     "ev_year": (["ev"], "SELECT * REPLACE (ts + to_days(CAST((user_id // 2) % 12 * 30 AS INTEGER)) AS ts) FROM ev"),
     "raw_year": (["ev_year"], f"SELECT CAST(user_id % 2 AS INTEGER) AS series_id, {_bin('ts')} AS ts, {_AGGS} FROM ev_year GROUP BY 1, 2"),
     "gap_grid": (["raw_grid"], _regular("raw_grid")),

@@ -27,24 +27,24 @@ _HOURS = "SELECT DISTINCT ts FROM wx_long"
 _RATE = "SELECT k.day, k.key, round((h.n - k.n) / CAST(h.n AS DOUBLE), 4) AS missing_rate FROM (SELECT CAST(ts AS DATE) AS day, key, count(value) AS n FROM wx_long GROUP BY 1, 2) k JOIN (SELECT CAST(ts AS DATE) AS day, count(DISTINCT ts) AS n FROM wx_long GROUP BY 1) h ON h.day = k.day"
 
 
-@query("completeness", ora(_COMPLETE, "raw_grid"))
+@query("completeness", ora(_COMPLETE.replace('raw_grid', 'raw_fine'), "raw_fine"))
 def completeness(spark, sf):
-    return quality.completeness(t.raw_grid(spark, sf), series=S)
+    return quality.completeness(t.raw_fine(spark, sf), series=S)
 
 
 @query("missing_slots", ora(
-    "SELECT series_id, day, count(*) AS n_missing, array_to_string(list(p ORDER BY p)[1:10], ',') AS missing_slots FROM (SELECT d.series_id, d.day, CAST(p.p AS INTEGER) AS p FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM raw_grid) d, "
-    f"range(96) p(p) WHERE NOT EXISTS (SELECT 1 FROM raw_grid g WHERE g.series_id = d.series_id AND CAST(g.ts AS DATE) = d.day AND {period_of('g.ts')} = p.p)) GROUP BY 1, 2", "raw_grid"))
+    "SELECT series_id, day, count(*) AS n_missing, array_to_string(list(p ORDER BY p)[1:10], ',') AS missing_slots FROM (SELECT d.series_id, d.day, CAST(p.p AS INTEGER) AS p FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM raw_fine) d, "
+    f"range(96) p(p) WHERE NOT EXISTS (SELECT 1 FROM raw_fine g WHERE g.series_id = d.series_id AND CAST(g.ts AS DATE) = d.day AND {period_of('g.ts')} = p.p)) GROUP BY 1, 2", "raw_fine"))
 def missing_slots(spark, sf):
-    out = quality.missing_slots(t.raw_grid(spark, sf), series=S)
+    out = quality.missing_slots(t.raw_fine(spark, sf), series=S)
     text = F.array_join(F.col("missing_slots").cast("array<string>"), ",")
     return out.where("n_missing > 0").withColumn("missing_slots", text)
 
 
 @query("absent_periods", ora(
-    f"SELECT d.series_id, d.day, CAST(p.p AS INTEGER) AS period FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM raw_grid) d, range(96) p(p) EXCEPT SELECT series_id, CAST(ts AS DATE), {PERIOD} FROM raw_grid", "raw_grid"))
+    f"SELECT d.series_id, d.day, CAST(p.p AS INTEGER) AS period FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM raw_fine) d, range(96) p(p) EXCEPT SELECT series_id, CAST(ts AS DATE), {PERIOD} FROM raw_fine", "raw_fine"))
 def absent_periods(spark, sf):
-    return quality.absent_periods(t.raw_grid(spark, sf), series=S)
+    return quality.absent_periods(t.raw_fine(spark, sf), series=S)
 
 
 @query("range_check", ora(_RANGED.replace("SELECT l", "SELECT l", 1), "raw_grid", long=_LONG, lims=_RANGE_SQL))

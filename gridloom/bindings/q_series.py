@@ -36,6 +36,11 @@ def regularize(spark, sf):
 
 @query("ffill", ora("SELECT * FROM grid", "grid"))
 def ffill(spark, sf):
+    return regular.ffill(t.gap_grid(spark, sf), CH, series=S)
+
+
+@query("densify", ora("SELECT * FROM grid", "grid"))
+def densify(spark, sf):
     return t.grid(spark, sf)
 
 

@@ -54,6 +54,12 @@ def raw_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regular.bin_rows(e, _channel_aggs(), series=SERIES)
 
 
+def raw_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter-hour bins in fifty series, sparse at every scale of the samples."""
+    e = events(spark, sf_dir).withColumn("series_id", (F.col("user_id") % 50).cast("int"))
+    return regular.bin_rows(e, {"n": F.count("*")}, series=SERIES)
+
+
 def raw_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events spread over twelve 30-day blocks by user, two series: all seasons occur."""
     e = events(spark, sf_dir).withColumns({
@@ -70,12 +76,11 @@ def gap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regular grid, carried forward."""
-    return regular.ffill(gap_grid(spark, sf_dir), dims.CHANNELS, series=SERIES)
+    return regular.densify(raw_grid(spark, sf_dir), series=SERIES)
 
 
 def year_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = regular.regularize(raw_year(spark, sf_dir), series=SERIES)
-    return regular.ffill(full, dims.CHANNELS, series=SERIES)
+    return regular.densify(raw_year(spark, sf_dir), series=SERIES)
 
 
 def _weather_key() -> Column:

@@ -10,6 +10,7 @@ however few series there are.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -28,29 +29,45 @@ class ChunkWindows:
     def __init__(self, series: Sequence[str], per_day: int):
         self.series = list(series)
         self.per_day = per_day
-        self.keys = [F.col(s) for s in self.series] + [F.col(CHUNK)]
+        self.keys = [*self.series, CHUNK]
+        self._frames: dict[tuple, WindowSpec] = {}
 
-    @property
+    @cached_property
     def time(self) -> WindowSpec:
         """Rows of the chunk in time order."""
         return Window.partitionBy(*self.keys).orderBy(STEP)
 
-    @property
+    @cached_property
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.keys)
 
-    @property
+    @cached_property
     def day(self) -> WindowSpec:
         """Rows of one day; days never straddle chunks."""
         return Window.partitionBy(*self.keys, F.floor(F.col(STEP) / self.per_day))
 
+    def rows(self, first: int, last: int) -> WindowSpec:
+        """Time order, framed by row offsets."""
+        return self._keep(("rows", first, last), lambda: self.time.rowsBetween(first, last))
+
+    @cached_property
+    def running(self) -> WindowSpec:
+        return self.time.rowsBetween(Window.unboundedPreceding, 0)
+
     def block(self, rows: int, descending: bool = False) -> WindowSpec:
         """Running frame inside fixed blocks of `rows` steps."""
         order = F.col(STEP).desc() if descending else F.col(STEP).asc()
-        return (
+        return self._keep(("block", rows, descending), lambda: (
             Window.partitionBy(*self.keys, F.floor(F.col(STEP) / rows)).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
+            .rowsBetween(Window.unboundedPreceding, 0)))
+
+    def lag(self, c: str, k: int) -> Column:
+        return F.lag(col(c), k).over(self.time)
+
+    def _keep(self, key: tuple, make: Callable[[], WindowSpec]) -> WindowSpec:
+        if key not in self._frames:
+            self._frames[key] = make()
+        return self._frames[key]
 
 
 def chunk_windows(

@@ -38,19 +38,64 @@ def spine(bounds: DataFrame, *, series: Sequence[str], minutes: int = QUARTER) -
     return days.select(*series, F.explode(F.sequence(first, last)).alias(STEP))
 
 
+def _quoted(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _with_next(df: DataFrame, values: Sequence[str], series: Sequence[str], ts: str, minutes: int, chunk_days: int,
+               fill: Sequence[str]) -> DataFrame:
+    """Rows with their step, the step of the next row of the series (`_next`) and, for the
+    columns in `fill`, the last known value.
+
+    Works chunk by chunk; what crosses a chunk (its first step, its last values)
+    is taken from a summary with one row per series and chunk.
+    """
+    size = steps_per_day(minutes) * chunk_days
+    base = df.select(*series, step_index(col(ts), minutes).alias(STEP), *[col(c) for c in values]).withColumn(
+        CHUNK, F.floor(F.col(STEP) / size))
+    keys = [*series, CHUNK]
+    summary = base.groupBy(*keys).agg(F.min(STEP).alias("_first"), *[
+        F.expr(f"max(CASE WHEN {_quoted(c)} IS NOT NULL THEN struct({STEP}, {_quoted(c)} AS v) END) AS `_end_{c}`") for c in fill])
+    by = "PARTITION BY " + ", ".join(_quoted(k) for k in series) if series else ""
+    before = f"({by} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    around = summary.selectExpr(
+        *[_quoted(k) for k in keys], f"lead(_first) OVER ({by} ORDER BY {CHUNK}) AS _after",
+        *[f"last(`_end_{c}`, true) OVER {before}.v AS `_carry_{c}`" for c in fill])
+    inside = f"PARTITION BY {', '.join(_quoted(k) for k in keys)} ORDER BY {STEP}"
+    filled = set(fill)
+    known = lambda c: (f"coalesce(last({_quoted(c)}, true) OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), `_carry_{c}`) "
+                       f"AS {_quoted(c)}") if c in filled else _quoted(c)
+    return base.join(around, keys).selectExpr(
+        *[_quoted(k) for k in series], STEP, f"coalesce(lead({STEP}) OVER ({inside}), _after) AS _next", *[known(c) for c in values])
+
+
+def _cover(rows: DataFrame, values: Sequence[str], series: Sequence[str], ts: str, minutes: int, keep_values: bool) -> DataFrame:
+    """Repeat each row for the steps up to the next one."""
+    steps = rows.withColumn("_at", F.explode(F.sequence(F.col(STEP), F.coalesce(F.col("_next") - 1, F.col(STEP)))))
+    value = (lambda c: _quoted(c)) if keep_values else (
+        lambda c: f"CASE WHEN _at = {STEP} THEN {_quoted(c)} END AS {_quoted(c)}")
+    out = steps.selectExpr(*[_quoted(s) for s in series], "_at", *[value(c) for c in values])
+    return out.select(*series, step_time(F.col("_at"), minutes).alias(ts), *[col(c) for c in values])
+
+
 def regularize(df: DataFrame, *, series: Sequence[str], ts: str = "ts", minutes: int = QUARTER,
-               extend: int = 0, bounds: DataFrame | None = None) -> DataFrame:
+               chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """Every step from the first to the last row of each series, null where absent.
 
-    `df` has at most one row per series and step. `extend` adds steps after the end.
+    `df` has at most one row per series and step. A row yields the empty steps
+    that follow it, so there is no spine to build and join.
     """
-    bounds = bounds if bounds is not None else step_bounds(df, series=series, ts=ts, minutes=minutes)
-    if extend:
-        bounds = bounds.withColumn("_hi", F.col("_hi") + extend)
     values = [c for c in df.columns if c not in {*series, ts}]
-    facts = df.select(*series, step_index(col(ts), minutes).alias(STEP), *[col(c) for c in values])
-    full = spine(bounds, series=series, minutes=minutes).join(facts, [*series, STEP], "left")
-    return full.select(*series, step_time(F.col(STEP), minutes).alias(ts), *[col(c) for c in values])
+    rows = _with_next(df, values, series, ts, minutes, chunk_days, fill=[])
+    return _cover(rows, values, series, ts, minutes, keep_values=False)
+
+
+def densify(df: DataFrame, *, series: Sequence[str], ts: str = "ts", minutes: int = QUARTER,
+            chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """`regularize` followed by an unlimited `ffill` of all columns, in one pass over the sparse rows."""
+    values = [c for c in df.columns if c not in {*series, ts}]
+    rows = _with_next(df, values, series, ts, minutes, chunk_days, fill=values)
+    return _cover(rows, values, series, ts, minutes, keep_values=True)
 
 
 def ffill(df: DataFrame, cols: Sequence[str], *, series: Sequence[str], ts: str = "ts",
@@ -61,7 +106,7 @@ def ffill(df: DataFrame, cols: Sequence[str], *, series: Sequence[str], ts: str
     each chunk is computed first, carried over the (few) chunks, and used where a
     chunk has nothing of its own before a row.
     """
-    name = lambda c: "`" + c.replace("`", "``") + "`"
+    name = _quoted
     if limit is not None:
         phase = lambda w: {c: F.last(col(c), ignorenulls=True).over(w.time.rowsBetween(-limit, 0)) for c in cols}
         return chunk_windows(df, [phase], series=series, ts=ts, back=limit, minutes=minutes,
@@ -91,10 +136,12 @@ def upsample(grid: DataFrame, coarse: DataFrame, cols: Sequence[str], *, series:
     one equi-join on the hour. `limit` counts fine steps after the observation.
     """
     per_hour = HOUR // minutes
-    hourly = regularize(coarse.select(*series, ts, *[col(c) for c in cols]), series=series, ts=ts, minutes=HOUR)
+    hourly = coarse.select(*series, ts, *[col(c) for c in cols])
     if limit is None:
-        hourly = ffill(hourly, cols, series=series, ts=ts, minutes=HOUR)
-    elif limit >= per_hour:
+        hourly = densify(hourly, series=series, ts=ts, minutes=HOUR)
+    else:
+        hourly = regularize(hourly, series=series, ts=ts, minutes=HOUR)
+    if limit is not None and limit >= per_hour:
         # values carried k whole hours still reach the steps of that hour only partly
         hourly = hourly.withColumns({f"_at_{c}": F.when(col(c).isNotNull(), step_index(col(ts), HOUR)) for c in cols})
         both = [*cols, *[f"_at_{c}" for c in cols]]

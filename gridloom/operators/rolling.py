@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.timegrid import HOUR, QUARTER, col
@@ -56,7 +56,7 @@ def rolling_phases(rolls: Sequence[Roll]) -> list[Phase]:
         return {f"_mid_{c}": F.coalesce(F.round(F.avg(col(c)).over(w.whole)), F.lit(0.0)) for c in squared}
 
     def running(w: ChunkWindows) -> dict[str, Column]:
-        upto = w.time.rowsBetween(Window.unboundedPreceding, 0)
+        upto = w.running
         out: dict[str, Column] = {}
         for c in plain:
             x = col(c).cast("double")
@@ -115,9 +115,8 @@ def _peak(r: Roll, w: ChunkWindows) -> Column:
     block = F.floor(F.col(STEP) / r.rows)
     at = lambda c, k: F.lag(c, k).over(w.time) if k else c
     start = r.lag + r.rows - 1
-    everything = w.time.rowsBetween(Window.unboundedPreceding, 0)
-    first_block = F.first(block).over(everything)
-    first_tail = F.first(tail).over(everything)
+    first_block = F.first(block).over(w.running)
+    first_tail = F.first(tail).over(w.running)
     # while the window reaches past the first row, it starts at that row
     early = F.when(first_block < at(block, r.lag), first_tail)
     left = F.when(at(F.col(STEP), start).isNull(), early).otherwise(at(tail, start))
@@ -158,8 +157,7 @@ def offset_window_phases(cols: Sequence[str], near: int, far: int) -> list[Phase
         return {f"_jump_{c}": F.abs(col(c) - F.lag(col(c), 1).over(w.time)) for c in cols}
 
     def stats(w: ChunkWindows) -> dict[str, Column]:
-        span = w.time.rowsBetween(-far, -near)
-        inner = w.time.rowsBetween(-far + 1, -near)
+        span, inner = w.rows(-far, -near), w.rows(-far + 1, -near)
         out: dict[str, Column] = {}
         for c in cols:
             full = F.count(col(c)).over(span) == width

@@ -33,13 +33,21 @@ WEATHER_CLUSTERS = [(v, c) for v, shares in dims.REGION_WEIGHTS.items() for c in
 def dense_weather(weather: DataFrame, keys: Sequence[str], *, ts: str = "ts", value: str = "variables") -> DataFrame:
     """Map rows to one row per hour and one filled column per key."""
     wide = unpack_map(weather.select(ts, value), value, keys)
-    hourly = regular.regularize(wide, series=[], ts=ts, minutes=HOUR)
-    return regular.ffill(hourly, list(keys), series=[], ts=ts, minutes=HOUR)
+    return regular.densify(wide, series=[], ts=ts, minutes=HOUR)
 
 
-def weather_features(weather: DataFrame, *, ts: str = "ts", keys: Sequence[str] | None = None,
-                     zero_missing: bool = False) -> DataFrame:
-    """Hourly weather features, now and one day ahead (`*_pp`)."""
+WEATHER_AHEAD = [
+    "temp_avg", "rad_avg", "rad_eff", "cloud_avg", "precip_avg", "cdd_avg", "apparent_temp", "wind_cubic", "wind_avg", "is_daytime",
+    "precip_yaan", "precip_panzhihua", "precip_liangshan", "precip_sq", "precip_sqrt", "rain_24h", "rain_72h",
+]
+WEATHER_NOW = [
+    "temp_avg", "rad_avg", "cloud_avg", "wind_avg", "apparent_temp", "wind_cubic", "is_daytime", "rain_72h", "rain_15d",
+    "cloud_chg_24h", "temp_chg_24h", "temp_diurnal_range", "temp_chengdu",
+]
+
+
+def weather_hours(weather: DataFrame, *, ts: str = "ts", keys: Sequence[str] | None = None, zero_missing: bool = False) -> DataFrame:
+    """One row per hour: fused weather, rain sums, changes."""
     used = {f"{v}_{n}" for v, c in WEATHER_CLUSTERS for n in dims.CLUSTERS[c]}
     keys = [k for k in (keys if keys is not None else dims.weather_keys()) if k in used]
     hourly = dense_weather(weather, keys, ts=ts)
@@ -67,16 +75,14 @@ def weather_features(weather: DataFrame, *, ts: str = "ts", keys: Sequence[str]
             "temp_diurnal_range": F.max("temp_chengdu").over(w.day) - F.min("temp_chengdu").over(w.day),
         }
 
-    ahead = ["temp_avg", "rad_avg", "rad_eff", "cloud_avg", "precip_avg", "cdd_avg", "apparent_temp", "wind_cubic",
-             "wind_avg", "is_daytime", "precip_yaan", "precip_panzhihua", "precip_liangshan", "precip_sq", "precip_sqrt",
-             "rain_24h", "rain_72h"]
-    full = chunk_windows(base, [*sums, changes], series=[], ts=ts, back=361, minutes=HOUR, chunk_days=224)
-    # a shifted copy instead of a second window: rain sums already needed one
-    later = full.select((step_index(col(ts), HOUR) - DAY_HOURS).alias("_hour"), *[col(c).alias(f"{c}_pp") for c in ahead])
-    now = ["temp_avg", "rad_avg", "cloud_avg", "wind_avg", "apparent_temp", "wind_cubic", "is_daytime", "rain_72h", "rain_15d",
-           "cloud_chg_24h", "temp_chg_24h", "temp_diurnal_range", "temp_chengdu"]
-    here = full.select(step_index(col(ts), HOUR).alias("_hour"), *[col(c) for c in now])
-    return here.join(later, "_hour", "full")
+    return chunk_windows(base, [*sums, changes], series=[], ts=ts, back=361, minutes=HOUR, chunk_days=224).select(
+        step_index(col(ts), HOUR).alias("_hour"), *[col(c) for c in dict.fromkeys([*WEATHER_NOW, *WEATHER_AHEAD])])
+
+
+def with_day_ahead(hours: DataFrame) -> DataFrame:
+    """Per hour the values of that hour and, as `*_pp`, of the hour one day later."""
+    later = hours.select((F.col("_hour") - DAY_HOURS).alias("_hour"), *[col(c).alias(f"{c}_pp") for c in WEATHER_AHEAD])
+    return hours.select("_hour", *WEATHER_NOW).join(later, "_hour", "full")
 
 
 def _stack(grid: DataFrame, series: Sequence[str], ts: str) -> DataFrame:
@@ -106,7 +112,7 @@ def _windows(rolls: Sequence[Roll]) -> list:
     def shifts(w: ChunkWindows) -> dict[str, Column]:
         out = {f"{c}~{k}": F.lag(col(c), k).over(w.time) for c, ks in lags.items() for k in ks}
         out["rad_ramp"] = F.coalesce(col("rad_avg") - F.lag("rad_avg", 1).over(w.time), F.lit(0.0))
-        last4 = w.time.rowsBetween(-3, 0)
+        last4 = w.rows(-3, 0)
         out["wind_turbulence"] = F.when(F.count("wind_avg").over(last4) >= 2, F.stddev_samp("wind_avg").over(last4))
         return out
 
@@ -243,8 +249,8 @@ def build_features(grid: DataFrame, weather: DataFrame, *, series: Sequence[str]
         "net_load": derived.net_load(l, s, w, h), "surplus": derived.surplus(l, s, w, h),
         "renew_total": derived.renewable(s, w, h),
     })
-    # a few hundred bytes per hour, so that its size is known to the join: written once
-    hourly = materialise(weather_features(weather, keys=weather_keys, zero_missing=zero_missing), "weather")
+    # a few hundred bytes per hour, read twice; written once, which also tells the joins its size
+    hourly = with_day_ahead(materialise(weather_hours(weather, keys=weather_keys, zero_missing=zero_missing), "weather"))
     joined = narrow.withColumn("_hour", step_index(F.col("ts"), HOUR)).join(hourly, "_hour", "left").drop("_hour")
     # helper columns of this plan start with "_" too, so keep them through the window pass
     outlook = lambda win: {f"y_{t}": F.lead(f"{t}_orig", H).over(win.time) for t in targets}

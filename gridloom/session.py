@@ -12,6 +12,8 @@ _CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the feature plan has about a thousand expressions; recording the call site of each is slow
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
