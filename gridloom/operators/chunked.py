@@ -39,7 +39,8 @@ class ChunkWindows:
 
     @cached_property
     def whole(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys)
+        """All rows of the chunk; keeps the time order, so no other sort is needed."""
+        return self.time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     @cached_property
     def day(self) -> WindowSpec:

@@ -132,29 +132,29 @@ def upsample(grid: DataFrame, coarse: DataFrame, cols: Sequence[str], *, series:
              ts: str = "ts", minutes: int = QUARTER, limit: int | None = None) -> DataFrame:
     """Hourly values on a finer grid.
 
-    Missing hours are filled on the hourly table (a quarter of the rows), then
-    one equi-join on the hour. `limit` counts fine steps after the observation.
+    Missing hours are filled on the hourly table (a quarter of the rows), then one
+    equi-join on the hour; rows after the last hour see that hour. `limit` counts
+    the fine steps a value may be carried past its own step.
     """
     per_hour = HOUR // minutes
+    series = list(series)
     hourly = coarse.select(*series, ts, *[col(c) for c in cols])
     if limit is None:
         hourly = densify(hourly, series=series, ts=ts, minutes=HOUR)
     else:
-        hourly = regularize(hourly, series=series, ts=ts, minutes=HOUR)
-    if limit is not None and limit >= per_hour:
-        # values carried k whole hours still reach the steps of that hour only partly
-        hourly = hourly.withColumns({f"_at_{c}": F.when(col(c).isNotNull(), step_index(col(ts), HOUR)) for c in cols})
-        both = [*cols, *[f"_at_{c}" for c in cols]]
-        hourly = ffill(hourly, both, series=series, ts=ts, minutes=HOUR, limit=limit // per_hour)
+        seen = [f"seen {c}" for c in cols]
+        hourly = regularize(hourly, series=series, ts=ts, minutes=HOUR).withColumns(
+            {a: F.when(col(c).isNotNull(), step_index(col(ts), HOUR)) for a, c in zip(seen, cols)})
+        if limit >= per_hour:
+            hourly = ffill(hourly, [*cols, *seen], series=series, ts=ts, minutes=HOUR, limit=limit // per_hour)
     hours = hourly.withColumn("_hour", step_index(col(ts), HOUR)).drop(ts)
-    out = grid.withColumn("_hour", step_index(col(ts), HOUR)).join(hours, [*series, "_hour"], "left")
+    ends = coarse.groupBy(*series).agg(F.max(step_index(col(ts), HOUR)).alias("_last"))
+    placed = grid.join(ends, series, "left") if series else grid.crossJoin(F.broadcast(ends))  # one row
+    out = placed.withColumn("_hour", F.least(step_index(col(ts), HOUR), F.col("_last"))).join(hours, [*series, "_hour"], "left")
     if limit is not None:
         fine = step_index(col(ts), minutes)
-        if limit >= per_hour:
-            out = out.withColumns({c: F.when(fine - col(f"_at_{c}") * per_hour <= limit, col(c)) for c in cols})
-        else:
-            out = out.withColumns({c: F.when(F.pmod(fine, F.lit(per_hour)) <= limit, col(c)) for c in cols})
-    return out.select(*[c for c in out.columns if not c.startswith("_")])
+        out = out.withColumns({c: F.when(fine - col(a) * per_hour <= limit, col(c)) for a, c in zip(seen, cols)}).drop(*seen)
+    return out.select(*[col(c) for c in out.columns if not c.startswith("_")])
 
 
 def downsample(df: DataFrame, *, ts: str = "ts", minutes: int = HOUR) -> DataFrame:
