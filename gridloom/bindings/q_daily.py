@@ -144,8 +144,9 @@ def joint_extreme_flag(spark, sf):
     return known.crossJoin(cuts).select("series_id", "ts", ((F.col("load") > F.col("l")) & (F.col("solar") < F.col("s"))).alias("high_load_low_solar"))
 
 
-@query("exact_quantiles", "SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.1) AS q0, quantile_cont(l_extendedprice, 0.5) AS q1, "
-                          "quantile_cont(l_extendedprice, 0.9) AS q2 FROM (SELECT l_returnflag, round(l_extendedprice * 100) AS l_extendedprice FROM lineitem) GROUP BY 1")
+@query("exact_quantiles", "SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 4) AS q0, round(quantile_cont(l_extendedprice, 0.5), 4) AS q1, "
+                          "round(quantile_cont(l_extendedprice, 0.9), 4) AS q2 FROM (SELECT l_returnflag, round(l_extendedprice * 100) AS l_extendedprice FROM lineitem) GROUP BY 1")
 def exact_quantiles(spark, sf):
     li = t.table(spark, sf, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).alias("cents"))
-    return quantiles.exact_quantiles(li, "cents", [0.1, 0.5, 0.9], by=["l_returnflag"])
+    out = quantiles.exact_quantiles(li, "cents", [0.1, 0.5, 0.9], by=["l_returnflag"])
+    return out.withColumns({q: F.round(q, 4) for q in ("q0", "q1", "q2")})

@@ -94,7 +94,7 @@ def retrain(grid: DataFrame, obs: DataFrame, *, windows: Sequence[dims.SplitWind
             effort: training.Effort = training.Effort()) -> dict:
     """Features, splits, both stages, scores and the guard policy for one grid lag."""
     frame, weather = training_frame(grid, obs)
-    feats = features.build_features(frame, weather, lag_steps=lag_steps).drop("season")
+    feats = materialise(features.build_features(frame, weather, lag_steps=lag_steps), "features").drop("season")
     rows = materialise(splits.split_assign(feats, label="y_price_resid", windows=windows), "split")
     models1, oof = training.train_stage1(rows, effort=effort)
     lags = (f"price_lag{lag_steps}", "price_lag672") if lag_steps else ("price_lag96", "price_lag672")

@@ -320,7 +320,8 @@ def two_stage_predict(df: DataFrame, stage1: dict, stage2: dict, *, policy: Data
     """Price for every row whose season has models.
 
     Stage 1, interactions, three segment models, blend, anchor, guard; a price that
-    cannot be computed becomes 0, and `resid_pred` stays null there.
+    cannot be computed becomes 0, and `resid_pred` stays null there. `df` should be
+    a stored feature table: the models are branches that would each rebuild it.
     """
     df = metrics.price_anchor(df.withColumn("season", calendar.serving_season(F.col("ts"))), anchor_lags)
     frames = []

@@ -166,20 +166,20 @@ def test_chunk_border_does_not_change_features(spark, monkeypatch):
 def test_two_stage_chain(spark, tmp_path):
     """Train both stages on two seasons, save and load, serve with the guard."""
     from gridloom.plans import jobs
-    from gridloom.sources import store
+    from gridloom.session import materialise
 
     grid = wave_grid(spark, "2026-04-15", 30)
     obs = hourly_weather(spark, "2026-04-15", 30 * 24)
     windows = [dims.SplitWindow("dry", (date(2026, 4, 16), date(2026, 4, 26)), (date(2026, 4, 27), date(2026, 4, 28)), (date(2026, 4, 29), date(2026, 4, 30))),
                dims.SplitWindow("wet", (date(2026, 5, 1), date(2026, 5, 5)), (date(2026, 5, 6), date(2026, 5, 6)), (date(2026, 5, 7), date(2026, 5, 7)))]
-    effort = training.Effort(rounds=2, trees=2, folds=2)
+    effort = training.Effort(rounds=1, trees=1, folds=1, threads=8)
     out = jobs.retrain(grid, obs, windows=windows, effort=effort)
     assert len(out["stage1"]) == 8 and len(out["stage2"]) == 6
     assert out["report"].where("segment = 'all' AND split = 'test'").count() == 2
     keys = list(out["stage2"])
     training.save_models(out["stage2"], str(tmp_path / "m"))
     loaded = training.load_models(str(tmp_path / "m"), keys)
-    feats = features.build_features(grid, obs)
+    feats = materialise(features.build_features(grid, obs), "features")
     pred = training.two_stage_predict(feats, out["stage1"], loaded, policy=out["policy"])
     stats = pred.agg(F.count("*"), F.count("predicted_price"), F.min("predicted_price")).first()
     assert stats[0] == stats[1] == 30 * 96
