@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gridloom import dims
 from gridloom.bindings import tables as t
 from gridloom.bindings.ctes import PERIOD, ora
-from gridloom.bindings.registry import query
+from gridloom.bindings.feature_sql import steady
+from gridloom.bindings.registry import query, steady_col
 from gridloom.functions import calendar, derived
 from gridloom.operators.spatial import unpack_map
 from gridloom.plans import training
@@ -24,8 +25,8 @@ SLOT_SQL = ", ".join(f"{_flag(f'p >= {lo} AND p < {hi}')} AS \"slot_{n}\"" for n
 
 
 @query("calendar_features", ora(
-    f"SELECT *, round(sin({TAU} * p / 96), 9) AS period_sin, round(cos({TAU} * p / 96), 9) AS period_cos, "
-    f"round(sin({TAU} * month / 12), 9) AS month_sin, round(cos({TAU} * month / 12), 9) AS month_cos, "
+    f"SELECT *, {steady(f'sin({TAU} * p / 96)', 8)} AS period_sin, {steady(f'cos({TAU} * p / 96)', 8)} AS period_cos, "
+    f"{steady(f'sin({TAU} * month / 12)', 8)} AS month_sin, {steady(f'cos({TAU} * month / 12)', 8)} AS month_cos, "
     f"{_flag('month BETWEEN 1 AND 4')} AS is_dry_season, {_flag('month BETWEEN 5 AND 6')} AS is_flood, {_flag('month >= 7')} AS is_main_flood, "
     f"{_flag('dow >= 5')} AS is_weekend, {SLOT_SQL} FROM (SELECT series_id, ts, {PERIOD} AS p, hour(ts) AS hour, month(ts) AS month, "
     "isodow(ts) - 1 AS dow FROM raw_year)", "raw_year"))
@@ -36,7 +37,7 @@ def calendar_features(spark, sf):
     ps, pc = calendar.cyclic(F.col("p"), 96)
     ms, mc = calendar.cyclic(F.col("month"), 12)
     return base.withColumns({
-        "period_sin": F.round(ps, 9), "period_cos": F.round(pc, 9), "month_sin": F.round(ms, 9), "month_cos": F.round(mc, 9),
+        **{n: steady_col(e, 8) for n, e in (("period_sin", ps), ("period_cos", pc), ("month_sin", ms), ("month_cos", mc))},
         **calendar.season_flags(ts), "is_weekend": calendar.flag(calendar.is_weekend(ts)),
         **{f"slot_{n}": e for n, e in calendar.slot_flags(F.col("p")).items()},
     })
@@ -152,8 +153,8 @@ def fill_constant_(spark, sf):
 
 
 @query("stage2_inputs", ora(
-    f"SELECT series_id, ts, round(s * c, 6) AS int_solar_period, s * v AS int_solar_valley, l * k AS int_load_peak, s * l AS int_solar_load, "
-    f"(s + w) * v AS int_renew_valley, round(l * c, 6) AS int_load_period FROM (SELECT series_id, ts, solar AS s, wind AS w, load AS l, "
+    f"SELECT series_id, ts, {steady('s * c', 5)} AS int_solar_period, s * v AS int_solar_valley, l * k AS int_load_peak, s * l AS int_solar_load, "
+    f"(s + w) * v AS int_renew_valley, {steady('l * c', 5)} AS int_load_period FROM (SELECT series_id, ts, solar AS s, wind AS w, load AS l, "
     f"cos({TAU} * {PERIOD} / 96) AS c, {_flag(f'{PERIOD} BETWEEN 36 AND 67')} AS v, {_flag(f'{PERIOD} BETWEEN 68 AND 87')} AS k FROM grid)", "grid"))
 def stage2_inputs(spark, sf):
     """The six products, with the measured channels standing in for stage-1 outputs."""
@@ -161,4 +162,4 @@ def stage2_inputs(spark, sf):
                                  *[F.col(c).alias(f"oof_{c}") for c in training.TARGETS])
     out = training.interactions(g)
     rounded = {"int_solar_period", "int_load_period"}
-    return out.select("series_id", "ts", *[(F.round(col(c), 6) if c in rounded else col(c)).alias(c) for c in training.INTERACTIONS])
+    return out.select("series_id", "ts", *[(steady_col(col(c), 5) if c in rounded else col(c)).alias(c) for c in training.INTERACTIONS])

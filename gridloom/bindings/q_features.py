@@ -11,7 +11,7 @@ from gridloom import dims
 from gridloom.bindings import tables as t
 from gridloom.bindings.ctes import W, ora, period_of
 from gridloom.bindings.feature_sql import BASE_TABLE_SQL, DIGITS, FEATURE_NAMES, feature_views
-from gridloom.bindings.registry import query
+from gridloom.bindings.registry import query, steady_col
 from gridloom.functions.timegrid import col
 from gridloom.plans import base_table as bt
 from gridloom.plans import features, metrics, splits, training
@@ -29,14 +29,9 @@ def sample_features(spark, sf, lag_steps=0):
     return features.build_features(grid, t.weather(spark, sf), lag_steps=lag_steps, festival=FESTIVAL)
 
 
-def steady(c, digits):
-    """Rounded with a small offset, so that exact halves are not on the edge."""
-    return F.round(c + 2.71 * 10 ** -(digits + 2), digits)
-
-
 def _tidy(df):
     """Irrational values rounded, sums and means of whole cents left exact."""
-    value = lambda n: col(n) if DIGITS[n] is None else steady(col(n), DIGITS[n])
+    value = lambda n: col(n) if DIGITS[n] is None else steady_col(col(n), DIGITS[n])
     return df.select(*S, "ts", *[value(n).alias(n) for n in FEATURE_NAMES])
 
 
@@ -78,7 +73,7 @@ def feature_store(spark, sf):
 def base_table(spark, sf):
     out = bt.base_table(t.gap_grid(spark, sf), t.weather_obs(spark, sf), series=S, festival=FESTIVAL)
     rounded = [c for c in out.columns if any(k in c for k in ("_", "CDD", "HDD")) and c not in ("series_id", "datetime_bj")]
-    return out.select(*[(steady(col(c), 5) if c in rounded else col(c)).alias(c) for c in out.columns])
+    return out.select(*[(steady_col(col(c), 5) if c in rounded else col(c)).alias(c) for c in out.columns])
 
 
 def _d(x):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Run = Callable[[SparkSession, str], DataFrame]
 RUNS: dict[str, Run] = {}
@@ -21,3 +22,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
             SQL[name] = sql
         return fn
     return keep
+
+
+def steady_col(c: Column, digits: int) -> Column:
+    """Rounded with a small offset, so that exact halves and signed zeros are not on the edge."""
+    return F.round(c + 2.71 * 10 ** -(digits + 2), digits)
