@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import ship
+
 #: Whitespace of the word rule `[^\x20\x09-\x0D]+`; `bytes.split()` splits at exactly these six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,10 +23,6 @@ def lower_ascii(c: Column) -> Column:
     return F.when(ascii_only, F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
-def tables(sf_dir: str, *names: str) -> list[str]:
-    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
-
-
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -34,13 +32,15 @@ def as_bytes(column) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, schema: str, fn: Callable[..., dict]) -> DataFrame:
-    """Run `fn(columns)` over each Arrow batch; columns and result map names to value lists."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-    return df.mapInArrow(run, schema)
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def map_texts(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Run `fn` over each Arrow batch that has rows."""
+    return map_batches(df, lambda batches: (fn(b) for b in batches if b.num_rows), schema)
 
 
 class WordTable:

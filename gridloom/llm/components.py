@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import map_batches
 from gridloom.session import materialise
 
 
@@ -63,7 +64,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     table gives an empty table. Nodes are integers.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
-    e = e.where(F.col("a") != F.col("b")).mapInArrow(_merge_held, "a long, b long")
+    e = map_batches(e.where(F.col("a") != F.col("b")), _merge_held, "a long, b long")
     e = materialise(e.distinct(), "edges")
     while True:
         up = e.groupBy("a").agg(F.min("b").alias("p"), F.count(F.lit(1)).alias("n"))

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import map_batches
 from gridloom.llm.components import connected_components, forest
 from gridloom.session import materialise
 
@@ -183,8 +184,8 @@ def _search(spark, reps: DataFrame, count: int, cosine: float, reach: float, sam
                     ["rep", "label", "n", "unit", "list", "code", "missed", "probed"])
 
     label_type = reps.schema["label"].dataType.simpleString()
-    coded = materialise(reps.select("rep", "label", "vec", "n").mapInArrow(
-        encode, f"rep long, label {label_type}, n long, unit binary, list int, code binary, missed double, probed array<int>"), "codes")
+    coded = materialise(map_batches(
+        reps.select("rep", "label", "vec", "n"), encode, f"rep long, label {label_type}, n long, unit binary, list int, code binary, missed double, probed array<int>"), "codes")
     # blocks of each list: of those it holds, and of those that probe it
     held = coded.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("h"))
     asked = coded.select("label", F.explode("probed").alias("list")).groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("p"))

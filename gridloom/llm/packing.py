@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import WordTable, as_bytes, map_texts
-from gridloom.session import materialise
+from gridloom.session import materialise, ship
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTable:
@@ -39,7 +39,7 @@ def word_tokens(path: str) -> WordTable:
         for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
             yield np.asarray(e.ids, "<u4").tobytes()
 
-    return WordTable(encode)
+    return WordTable(encode, 1 << 19)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -88,6 +88,7 @@ def place(cut: DataFrame, capacity: int = 2048, group_rows: int = 50_000) -> Dat
     are counted first.
     """
     groups = max(1, round(cut.count() / group_rows))
+    ship(cut.sparkSession)
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64(*cut.columns), F.lit(groups)))
 
     def pack(held: pd.DataFrame) -> pd.DataFrame:

@@ -1,7 +1,8 @@
 """Document quality by ordinal cumulative-link regression on graded ratings.
 
-P(grade <= j) = logistic(theta_j - w . x) with one weight per hashed term shared
-by all grades and ordered thresholds theta_1 < theta_2 < ... From these come the
+P(grade <= j) = logistic(theta_j - w . x) with one weight per hashed term (words,
+their shapes, and shares of repeated, capital and sign-ridden words) shared by all
+grades and ordered thresholds theta_1 < theta_2 < ... From these come the
 expected grade and, for any grade, the probability of reaching it, by which
 documents are selected. Fitted by the driver on a bounded sample of rated
 documents, applied to every text where it lies.
@@ -38,13 +39,13 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000,
-        most_terms: int = 4096, least_chi2: float = 25.0, epochs: int = 25, penalty: float = 1e-4, seed: int = 13) -> OrdinalModel:
+        most_terms: int = 512, least_chi2: float = 25.0, epochs: int = 25, penalty: float = 1e-4, seed: int = 13) -> OrdinalModel:
     """Fit on at most `sample_rows` rated documents; `ratings` is (id, grade) with grades 0 to `grades` - 1.
 
     The thresholds start from the shares of the grades; with no ratings, or one
     grade only, they stay there.
     """
-    found = t.examples(t.sample(docs, ratings, id_col, text_col, sample_rows), t.shape_terms, most_terms, least_chi2)
+    found = t.examples(t.sample(docs, ratings, id_col, text_col, sample_rows), t.shape_terms, t.share_terms, most_terms, least_chi2)
     rng = np.random.default_rng(seed)
     counts = np.bincount(found.ratings, minlength=grades)[:grades] + 0.5
     below = np.cumsum(counts)[:-1] / counts.sum()
@@ -80,4 +81,4 @@ def quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", grade_
     table.
     """
     names = [grade_col, *(f"{tail_prefix}{j}" for j in range(1, len(model.theta) + 1))]
-    return t.score_texts(docs, text_col, model.active, t.shape_terms, model.tails, names)
+    return t.score_texts(docs, text_col, model.active, t.shape_terms, t.share_terms, model.tails, names)

@@ -7,20 +7,24 @@ the corpus, and a long text does not add up thousands of meaningless weights.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordTable, as_bytes, map_texts
+from gridloom.llm.common import WordTable, as_bytes, map_batches, map_texts
 from gridloom.session import materialise
 
 BITS = 18
 Terms = Callable[[bytes], list[bytes]]
+Whole = Callable[[list[bytes]], list[bytes]]
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&+=-_/\\~^`@"
 
 
@@ -47,6 +51,28 @@ def shape_terms(word: bytes) -> list[bytes]:
     return [b"w" + word.lower().strip(_EDGE), b"s" + bytes(shape)]
 
 
+_STEPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
+_SIGNS = re.compile(rb"[!-/:-@\[-`{-~]{2,}|\|")
+
+
+def no_terms(words: list[bytes]) -> list[bytes]:
+    return []
+
+
+def share_terms(words: list[bytes]) -> list[bytes]:
+    """How much of a text repeats the word before, is in capitals, ends in runs of signs, or is said for the first time: in steps."""
+    n = len(words)
+    if not n:
+        return []
+    shares = {
+        b"again": sum(map(eq, words, islice(words, 1, None))) / n,
+        b"capitals": sum(map(bytes.isupper, words)) / n,
+        b"signs": sum(1 for _ in _SIGNS.finditer(b" ".join(words))) / n,
+        b"new": len(set(words)) / n if n >= 20 else 1.0,
+    }
+    return [b"d%s%d" % (name, sum(share > x for x in _STEPS)) for name, share in shares.items()]
+
+
 def buckets(terms: Iterable[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(t) & ((1 << BITS) - 1) for t in terms), np.uint32)
 
@@ -80,11 +106,12 @@ class Examples:
             yield x, self.ratings[chosen]
 
 
-def examples(chosen: DataFrame, terms: Terms, most: int, least_chi2: float) -> Examples:
+def examples(chosen: DataFrame, terms: Terms, whole: Whole, most: int, least_chi2: float) -> Examples:
     """Read a bounded sample: keep the `most` buckets whose presence correlates best with the rating, and at least with n r^2 >= `least_chi2`."""
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = WordTable(lambda ws: (buckets(terms(w)).tobytes() for w in ws), 1 << 16)
-        found = [np.unique(np.frombuffer(table.lookup(set(t.split())), np.uint32)).tobytes() for t in as_bytes(batch.column(0))]
+        texts = [t.split() for t in as_bytes(batch.column(0))]
+        found = [np.unique(np.append(np.frombuffer(table.lookup(set(w)), np.uint32), buckets(whole(w)))).tobytes() for w in texts]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["rating", "buckets"])
 
     seen = materialise(map_texts(chosen, "rating int, buckets binary", hashed), "examples")
@@ -104,7 +131,7 @@ def examples(chosen: DataFrame, terms: Terms, most: int, least_chi2: float) -> E
     spread = (total[2] or 0) / max(1, n) - mean * mean
     if not n or spread <= 0:
         return Examples(np.zeros(0, np.uint32), [np.zeros(0, np.int64)] * n, np.array([r[0] for r in seen.select("rating").collect()], np.int64))
-    held = seen.mapInArrow(count, "bucket long, n long, s long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    held = map_batches(seen, count, "bucket long, n long, s long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     p = F.col("n") / n
     chi2 = n * F.pow(F.col("s") / n - p * mean, 2) / (p * (1 - p) * spread)
     best = held.where(F.col("n") < n).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "bucket").limit(most)
@@ -118,32 +145,32 @@ def examples(chosen: DataFrame, terms: Terms, most: int, least_chi2: float) -> E
     return Examples(active, [np.frombuffer(r[1], np.uint16).astype(np.int64) for r in rows], np.array([r[0] for r in rows], np.int64))
 
 
-def active_table(active: np.ndarray, terms: Terms) -> WordTable:
-    """Places in `active` of a word's terms, as 16-bit numbers; most words have none."""
+def places(active: np.ndarray) -> Callable[[Iterable[bytes]], np.ndarray]:
+    """Places in `active` of terms; most terms have none."""
     where = {int(b): i for i, b in enumerate(active)}
-
-    def compute(words: list[bytes]) -> Iterator[bytes]:
-        for w in words:
-            yield np.array([where[b] for b in buckets(terms(w)).tolist() if b in where], np.uint16).tobytes()
-
-    return WordTable(compute)
+    return lambda terms: np.array([where[b] for b in buckets(terms).tolist() if b in where], np.uint16)
 
 
-def score_texts(docs: DataFrame, text_col: str, active: np.ndarray, terms: Terms, score: Callable[[np.ndarray], list[float]], names: list[str]) -> DataFrame:
+def score_texts(docs: DataFrame, text_col: str, active: np.ndarray, terms: Terms, whole: Whole, score: Callable[[np.ndarray], list[float]],
+                names: list[str]) -> DataFrame:
     """`docs` without the text, with the double columns `names` computed by `score` from a text's distinct active terms."""
     rest = [c for c in docs.columns if c != text_col]
     ordered = docs.select(text_col, *rest)
     sent = docs.sparkSession.sparkContext.broadcast(active)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = active_table(sent.value, terms)
+        at = places(sent.value)
+        table = WordTable(lambda ws: (at(terms(w)).tobytes() for w in ws))
         for batch in batches:
-            found = [score(np.unique(np.frombuffer(table.lookup(set(t.split())), np.uint16))) for t in as_bytes(batch.column(0))]
+            found = []
+            for text in as_bytes(batch.column(0)):
+                words = text.split()
+                found.append(score(np.unique(np.append(np.frombuffer(table.lookup(set(words)), np.uint16), at(whole(words))))))
             new = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*rest, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[1:]]
-    return ordered.mapInArrow(run, ", ".join([*fields, *(f"`{n}` double" for n in names)]))
+    return map_batches(ordered, run, ", ".join([*fields, *(f"`{n}` double" for n in names)]))
 
 
 def adam(params: list[np.ndarray], rate: float = 0.02) -> Callable[[list[np.ndarray]], None]:

@@ -37,7 +37,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Without labels, or with one label only, the score is that label's share.
     """
-    found = t.examples(t.sample(docs, labels, id_col, text_col, sample_rows), t.word_terms, most_terms, least_chi2)
+    found = t.examples(t.sample(docs, labels, id_col, text_col, sample_rows), t.word_terms, t.no_terms, most_terms, least_chi2)
     rng = np.random.default_rng(seed)
     share = (found.ratings.sum() + 0.5) / (len(found.ratings) + 1)
     w0, w = np.array([np.log(share / (1 - share))]), np.zeros(len(found.active))
@@ -61,4 +61,4 @@ def toxicity(docs: DataFrame, model: FactorizationMachine, text_col: str = "text
     are passed on; repeated rows come out alike; an empty table gives an empty
     table.
     """
-    return t.score_texts(docs, text_col, model.active, t.word_terms, lambda at: [model.score(at)], [score_col])
+    return t.score_texts(docs, text_col, model.active, t.word_terms, t.no_terms, lambda at: [model.score(at)], [score_col])
