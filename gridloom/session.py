@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,21 @@ def get_session(app: str = "gridloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they were not started with it on their path."""
+    package, context = Path(__file__).resolve().parent, spark.sparkContext
+    if getattr(context, "_gridloom_shipped", False):
+        return
+    context._gridloom_shipped = True
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="gridloom-py-")) / "gridloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))  # served by the driver to every executor
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, else one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
