@@ -92,17 +92,22 @@ class Index:
         return [_nearest(rest[:, p], b)[1] for p, b in zip(self.parts, self.books)]
 
 
-def _links(held: pd.DataFrame, index: Index, at: int, cosine: float, reach: float) -> pd.DataFrame:
+def _units(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, in double precision."""
+    x = x / np.abs(x).max(1)[:, None]  # no overflow in the squares
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _links(held: pd.DataFrame, index: Index, at: int, cosine: float, reach: float, kind: str) -> pd.DataFrame:
     """Counts (a, null, n) and links (a, b, null) between the probers and holders of one block."""
     holders, probers = held[held["holds"]], held[~held["holds"]]
     counts, links = [], []
     if len(holders) and len(probers):
-        y = np.frombuffer(b"".join(holders["unit"])).reshape(len(holders), -1)
+        y, x = (_units(np.frombuffer(b"".join(side["raw"]), kind).reshape(len(side), -1).astype(np.float64)) for side in (holders, probers))
         code = np.frombuffer(b"".join(holders["code"]), np.uint8).reshape(len(holders), -1)
         bound = reach + holders["missed"].to_numpy() + 1e-6
         y_id, weight = holders["rep"].to_numpy(), holders["n"].to_numpy()
         x_id = probers["rep"].to_numpy()
-        x = np.frombuffer(b"".join(probers["unit"])).reshape(len(probers), -1)
         for start in range(0, len(x), 128):
             q = x[start:start + 128]
             near = np.zeros((len(q), len(y)))
@@ -132,11 +137,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     is the smallest id reachable, its own included; `kept` says it is its own.
     A row with a null id has no links, a null component and is kept. Other
     columns are not looked at; an empty table gives an empty table.
-    `sample_rows` vectors of each length fit the index, one list for each square
-    root of the number of vectors, 1024 at most.
+    `sample_rows` vectors of each length fit the index; it has so many lists that
+    one holds about a block of an average label's vectors, 1024 at most.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # blocks carry vectors as they came; all arithmetic is in double precision
+    kind = "<f4" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0)
     rows = materialise(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
@@ -144,7 +151,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                        .withColumn("dim", F.size("vec")), "distinct-vectors")
     sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}  # one row for each vector length
     reach = math.sqrt(2 - 2 * cosine)
-    parts = [_search(spark, reps.where(F.col("dim") == dim), n, cosine, reach, sample_rows, subspaces, codewords, block, seed) for dim, n in sorted(sizes.items())]
+    parts = [_search(spark, reps.where(F.col("dim") == dim), n, cosine, reach, sample_rows, subspaces, codewords, block, seed, kind) for dim, n in sorted(sizes.items())]
     if not parts:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
@@ -161,31 +168,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
 
 
-def _search(spark, reps: DataFrame, count: int, cosine: float, reach: float, sample_rows: int, subspaces: int, codewords: int, block: int, seed: int) -> DataFrame:
+def _search(spark, reps: DataFrame, count: int, cosine: float, reach: float, sample_rows: int, subspaces: int, codewords: int, block: int, seed: int, kind: str) -> DataFrame:
     chosen = reps.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).collect()
-    sample = np.array([r["vec"] for r in chosen])
-    sample /= np.abs(sample).max(1)[:, None]  # no overflow in the squares
-    sample /= np.linalg.norm(sample, axis=1)[:, None]
-    index = spark.sparkContext.broadcast(Index.fit(sample, min(1024, max(1, math.isqrt(count))), subspaces, codewords, seed))
+    labels = max(1, reps.agg(F.approx_count_distinct("label")).first()[0])
+    lists = min(1024, max(1, round(count / labels / block)))
+    index = spark.sparkContext.broadcast(Index.fit(_units(np.array([r["vec"] for r in chosen])), lists, subspaces, codewords, seed))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_index = index.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = np.array(part.column(2).to_pylist())
-                x /= np.abs(x).max(1)[:, None]
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                raw = np.array(part.column(2).to_pylist())
+                x = _units(raw)
                 own, code, missed, d = own_index.encode(x)
                 probed = [np.flatnonzero(p).tolist() for p in own_index.probes(own, d, reach)]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), part.column(3), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(own.astype(np.int32)),
+                    part.column(0), part.column(1), part.column(3), pa.array([v.astype(kind).tobytes() for v in raw], pa.binary()), pa.array(own.astype(np.int32)),
                     pa.array([c.tobytes() for c in code], pa.binary()), pa.array(missed), pa.array(probed, pa.list_(pa.int32()))],
-                    ["rep", "label", "n", "unit", "list", "code", "missed", "probed"])
+                    ["rep", "label", "n", "raw", "list", "code", "missed", "probed"])
 
     label_type = reps.schema["label"].dataType.simpleString()
     coded = materialise(map_batches(
-        reps.select("rep", "label", "vec", "n"), encode, f"rep long, label {label_type}, n long, unit binary, list int, code binary, missed double, probed array<int>"), "codes")
+        reps.select("rep", "label", "vec", "n"), encode, f"rep long, label {label_type}, n long, raw binary, list int, code binary, missed double, probed array<int>"), "codes")
     # blocks of each list: of those it holds, and of those that probe it
     held = coded.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("h"))
     asked = coded.select("label", F.explode("probed").alias("list")).groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("p"))
@@ -193,12 +198,12 @@ def _search(spark, reps: DataFrame, count: int, cosine: float, reach: float, sam
     spread = F.xxhash64("rep")
     holders = coded.join(blocks, ["label", "list"]).select(
         "label", "list", F.pmod(spread, F.col("h")).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p").cast("long") - 1)).alias("pb"),
-        F.lit(True).alias("holds"), "rep", "n", "unit", "code", "missed")
-    probers = coded.select("label", "rep", "unit", F.explode("probed").alias("list")).join(blocks, ["label", "list"]).select(
+        F.lit(True).alias("holds"), "rep", "n", "raw", "code", "missed")
+    probers = coded.select("label", "rep", "raw", F.explode("probed").alias("list")).join(blocks, ["label", "list"]).select(
         "label", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long") - 1)).alias("hb"), F.pmod(spread, F.col("p")).alias("pb"),
-        F.lit(False).alias("holds"), "rep", F.lit(None).cast("long").alias("n"), "unit", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"))
+        F.lit(False).alias("holds"), "rep", F.lit(None).cast("long").alias("n"), "raw", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"))
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        return _links(held, index.value, int(held["list"].iloc[0]), cosine, reach)
+        return _links(held, index.value, int(held["list"].iloc[0]), cosine, reach, kind)
 
     return holders.unionByName(probers).groupBy("label", "list", "hb", "pb").applyInPandas(compare, "a long, b long, n long")
