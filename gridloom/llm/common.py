@@ -46,7 +46,7 @@ def map_texts(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Reco
 class WordTable:
     """Bytes looked up by word, computed once for words seen lately: two generations of at most `size` words."""
 
-    def __init__(self, compute: Callable[[list[bytes]], Iterable[bytes]], size: int = 1 << 18):
+    def __init__(self, compute: Callable[[list[bytes]], Iterable[bytes]], size: int = 1 << 17):
         self.compute, self.size = compute, size
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}

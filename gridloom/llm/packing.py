@@ -39,7 +39,7 @@ def word_tokens(path: str) -> WordTable:
         for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
             yield np.asarray(e.ids, "<u4").tobytes()
 
-    return WordTable(encode, 1 << 19)
+    return WordTable(encode, 1 << 18)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:

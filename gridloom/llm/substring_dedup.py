@@ -110,9 +110,12 @@ def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
 def _summary(docs: DataFrame) -> DataFrame:
     """(id, n_words, sha) of every row: the SHA-256 is that of the words with one space between them."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [t.split() for t in as_bytes(batch.column(1))]
-        shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(shas)], ["id", "n_words", "sha"])
+        sizes, shas = [], []
+        for text in as_bytes(batch.column(1)):
+            words = text.split()
+            sizes.append(len(words))
+            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], ["id", "n_words", "sha"])
     return map_texts(docs, "id long, n_words long, sha string", run)
 
 

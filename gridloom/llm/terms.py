@@ -110,8 +110,10 @@ def examples(chosen: DataFrame, terms: Terms, whole: Whole, most: int, least_chi
     """Read a bounded sample: keep the `most` buckets whose presence correlates best with the rating, and at least with n r^2 >= `least_chi2`."""
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = WordTable(lambda ws: (buckets(terms(w)).tobytes() for w in ws), 1 << 16)
-        texts = [t.split() for t in as_bytes(batch.column(0))]
-        found = [np.unique(np.append(np.frombuffer(table.lookup(set(w)), np.uint32), buckets(whole(w)))).tobytes() for w in texts]
+        found = []
+        for text in as_bytes(batch.column(0)):
+            words = text.split()
+            found.append(np.unique(np.append(np.frombuffer(table.lookup(set(words)), np.uint32), buckets(whole(words)))).tobytes())
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["rating", "buckets"])
 
     seen = materialise(map_texts(chosen, "rating int, buckets binary", hashed), "examples")
