@@ -57,3 +57,8 @@ def hour_of(step: Column, minutes: int = QUARTER) -> Column:
 
 def shift_minutes(ts: Column, minutes: int) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+
+
+def finite(c: Column) -> Column:
+    """The number, null where it is NaN or infinite: missing is null everywhere in this library."""
+    return F.when(F.abs(c) < float("inf"), c)

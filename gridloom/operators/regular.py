@@ -70,8 +70,8 @@ def _with_next(df: DataFrame, values: Sequence[str], series: Sequence[str], ts:
 
 
 def _cover(rows: DataFrame, values: Sequence[str], series: Sequence[str], ts: str, minutes: int, keep_values: bool) -> DataFrame:
-    """Repeat each row for the steps up to the next one."""
-    steps = rows.withColumn("_at", F.explode(F.sequence(F.col(STEP), F.coalesce(F.col("_next") - 1, F.col(STEP)))))
+    """Repeat each row for the steps up to the next one; rows that share a step each keep it."""
+    steps = rows.withColumn("_at", F.explode(F.sequence(F.col(STEP), F.greatest(F.col("_next") - 1, F.col(STEP)))))
     value = (lambda c: _quoted(c)) if keep_values else (
         lambda c: f"CASE WHEN _at = {STEP} THEN {_quoted(c)} END AS {_quoted(c)}")
     out = steps.selectExpr(*[_quoted(s) for s in series], "_at", *[value(c) for c in values])

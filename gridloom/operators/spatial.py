@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom import dims
-from gridloom.functions.timegrid import col
+from gridloom.functions.timegrid import col, finite
 
 MAP_TYPE = "map<string,double>"
 
 
 def as_map(df: DataFrame, c: str = "variables") -> DataFrame:
-    """JSON text to a map; a map column is kept as it is."""
+    """JSON text to a map; a map column is kept as it is. Numbers that are not finite are null."""
     kind = df.schema[c].dataType.typeName()
-    return df if kind == "map" else df.withColumn(c, F.from_json(col(c), MAP_TYPE))
+    return df if kind == "map" else df.withColumn(c, F.transform_values(F.from_json(col(c), MAP_TYPE), lambda _, v: finite(v)))
 
 
 def unpack_map(df: DataFrame, c: str = "variables", keys: Sequence[str] | None = None) -> DataFrame:

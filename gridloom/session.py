@@ -45,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, else one of our own."""
+    """Folder every executor can reach: `spark.checkpoint.dir`; a temporary one only where all executors are this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -53,7 +53,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    (df.repartition(*[col(p) for p in partition_by]).write.mode("overwrite")
+    """Rows of a partition lie together, and a large partition is split over tasks and files."""
+    (df.hint("rebalance", *[col(p) for p in partition_by]).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
 
 
@@ -80,18 +81,26 @@ def replace_predictions(df: DataFrame, path: str) -> None:
     overwrite_partitions(dated, path, PREDICTION_PARTITION)
 
 
-def prune_superseded(pred: DataFrame, *, version: str, gap_version: str) -> DataFrame:
-    """Drop gap-fill rows up to the last date the normal version covers."""
-    last = pred.where(col("model_version") == version).agg(F.max(F.to_date("target_time")).alias("_last"))
-    joined = pred.crossJoin(F.broadcast(last))  # one row
+def _with_last(rows: DataFrame, pred: DataFrame, version: str, keys: Sequence[str]) -> DataFrame:
+    """`_last`: the last date the version covers, for each series named by `keys`."""
+    normal = pred.where(col("model_version") == version)
+    if not keys:
+        return rows.crossJoin(F.broadcast(normal.agg(F.max(F.to_date("target_time")).alias("_last"))))  # one row
+    last = normal.groupBy(*[col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.max(F.to_date("target_time")).alias("_last"))
+    same = [col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return rows.join(last, same, "left").drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
+def prune_superseded(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Drop gap-fill rows up to the last date the normal version covers, for each series named by `keys`."""
+    joined = _with_last(pred, pred, version, keys)
     superseded = (col("model_version") == gap_version) & (F.to_date("target_time") <= F.col("_last"))
     return joined.where(~F.coalesce(superseded, F.lit(False))).drop("_last")
 
 
-def gap_fill_days(pred: DataFrame, *, version: str, gap_version: str) -> DataFrame:
-    """Gap-fill rows of dates after normal coverage."""
-    last = pred.where(col("model_version") == version).agg(F.max(F.to_date("target_time")).alias("_last"))
-    joined = pred.where(col("model_version") == gap_version).crossJoin(F.broadcast(last))  # one row
+def gap_fill_days(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Gap-fill rows of dates after normal coverage, for each series named by `keys`."""
+    joined = _with_last(pred.where(col("model_version") == gap_version), pred, version, keys)
     return joined.where(F.col("_last").isNull() | (F.to_date("target_time") > F.col("_last"))).drop("_last")
 
 

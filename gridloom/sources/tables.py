@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom import dims
 from gridloom.functions import labels
 from gridloom.functions.calendar import day_type
-from gridloom.functions.timegrid import col
+from gridloom.functions.timegrid import col, finite
 
 
 def cast_channels(df: DataFrame, cols: Sequence[str] = tuple(dims.CHANNELS)) -> DataFrame:
@@ -49,8 +49,8 @@ def pack_json(df: DataFrame, cols: Sequence[str], *, keep: Sequence[str] = ("ts"
 
 
 def try_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Text to double; what is not a number becomes null."""
-    return df.withColumns({c: F.trim(col(c)).try_cast("double") for c in cols})
+    """Text to double; what is not a finite number becomes null."""
+    return df.withColumns({c: finite(F.trim(col(c)).try_cast("double")) for c in cols})
 
 
 def fill_constant(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> DataFrame:

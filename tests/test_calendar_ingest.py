@@ -163,3 +163,25 @@ def test_registry_archives_the_previous_model(spark):
     assert status["stage2_dry_peak_astage2_price_peak"] == "archived" and status["stage2_wet_base_astage2_price_base"] == "active"
     assert status["stage2_dry_peak_bstage2_price_peak_lag192"] == "active"
     assert store.active_models(second).count() == 4
+
+
+def test_numbers_that_are_not_finite_are_missing(spark):
+    from gridloom.operators import spatial
+    from gridloom.sources import tables
+
+    df = spark.createDataFrame([("1.5",), ("NaN",), (" nan",), ("inf",), ("-Infinity",), ("x",), (None,)], "v string")
+    assert [r.v for r in tables.try_numeric(df, ["v"]).collect()] == [1.5] + [None] * 6
+    packed = spark.createDataFrame([('{"a": "NaN", "b": 2.0}',)], "variables string")
+    assert spatial.as_map(packed).first().variables == {"a": None, "b": 2.0}
+
+
+def test_each_series_is_pruned_by_its_own_last_day(spark):
+    from gridloom.sources import store
+
+    rows = [("a", f"2024-01-0{d} 00:00:00", "normal") for d in (1, 2, 3)] + [("b", "2024-01-01 00:00:00", "normal")]
+    rows += [("b", f"2024-01-0{d} 00:00:00", "gap") for d in (1, 2, 3)]
+    pred = spark.createDataFrame(rows, "series_id string, target_time string, model_version string").selectExpr(
+        "series_id", "cast(target_time as timestamp_ntz) target_time", "model_version")
+    how = dict(version="normal", gap_version="gap", keys=["series_id"])
+    assert store.prune_superseded(pred, **how).where("model_version = 'gap'").count() == 2
+    assert store.gap_fill_days(pred, **how).count() == 2
