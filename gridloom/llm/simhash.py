@@ -12,10 +12,19 @@ The tally is still counted per pair and the differing bits are verified.
 
 Equal fingerprints are one node of the index, whatever their number; a document
 finds its class through its fingerprint.
+
+Copies that share 0.8 of their shingles differ in about 10 of 64 bits, for which no
+byte is guaranteed to be shared. `similar_documents` therefore adds a second sketch
+to the same kind of index: 120 positional bytes, each the low byte of the smallest
+value of its own hash over a text's shingles. Two texts share a byte as often as
+their sets of shingles overlap, so a tally of positional bytes is proportional to
+the similarity. Lists are keyed by six bytes each; what the tally retains is
+verified by the shingles themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -24,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, map_texts
+from gridloom.llm.common import as_bytes, map_batches, map_texts
 from gridloom.llm.components import connected_components
 from gridloom.session import materialise
 
@@ -32,25 +41,51 @@ BYTES = 8
 SEED = 42
 _BLOCK = 1 << 15
 
+#: Positional bytes of a sketch, and how many of them key a list.
+SKETCH, ROWS = 120, 6
+_SCALE = np.random.default_rng(SEED).integers(0, 1 << 32, SKETCH, np.uint32) | np.uint32(1)
+_SHIFT = np.random.default_rng(SEED + 1).integers(0, 1 << 32, SKETCH, np.uint32)
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bitwise majority of the XXH64 of all shingles, repeats included, as a signed 64-bit number.
 
-    Fewer words than a shingle: the whole sequence is the only shingle. No words: 0.
-    """
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles of a text in blocks, repeats included; none for a text without words."""
     words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
     parts = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    ones = np.zeros(64, np.int64)
     for _ in range(0, n, _BLOCK):
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, islice(parts, _BLOCK), repeat(SEED)), "<u8")
+        yield np.fromiter(map(xxhash.xxh64_intdigest, islice(parts, _BLOCK), repeat(SEED)), "<u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Bitwise majority of hashes as a signed 64-bit number; 0 without hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
         ones += np.add.reduce(bits, axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Bitwise majority of the XXH64 of all shingles, repeats included, as a signed 64-bit number.
+
+    Fewer words than a shingle: the whole sequence is the only shingle. No words: 0.
+    """
+    return majority(shingle_hashes(text, shingle))
+
+
+def sketch(blocks: Iterable[np.ndarray]) -> bytes | None:
+    """The positional bytes of a set of hashes; none without hashes."""
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    some = False
+    for hashes in blocks:
+        some = True
+        low = hashes.astype(np.uint32)
+        for at in range(0, len(low), 1024):
+            least = np.minimum(least, (_SCALE[:, None] * low[None, at:at + 1024] + _SHIFT[:, None]).min(1))
+    return least.astype(np.uint8).tobytes() if some else None
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
     """(id, fp) for every row; null text counts as empty."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,5 +129,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, sketch) for every row; null text counts as empty, an empty text has no sketch."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, sketches = [], []
+        for text in as_bytes(batch.column(1)):
+            blocks = list(shingle_hashes(text, shingle))
+            fps.append(majority(blocks))
+            sketches.append(sketch(blocks))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["id", "fp", "sketch"])
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, fp long, sketch binary", run)
+
+
+def _tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Of pairs (a, b) those whose sketches share at least `least` positional bytes."""
+    held = nodes.select("node", "sketch")
+    both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3)]
+        return batch.select(["a", "b"]).filter(pa.array((sides[0] == sides[1]).sum(1) >= least))
+    return map_texts(both, "a long, b long", run)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose sets of shingles overlap by at least `similarity`; `texts` is (id, text)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = texts.select("id", "text").join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    both = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def shingles(text: bytes) -> set[int]:
+        return {h for block in shingle_hashes(text, shingle) for h in block.tolist()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = b"", shingles(b"")
+        for batch in batches:
+            keep = []
+            for ta, tb in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3))):
+                if ta != last:
+                    last, x = ta, shingles(ta)
+                y = shingles(tb)
+                keep.append(len(x & y) >= similarity * len(x | y))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return map_batches(both, run, "a long, b long")
+
+
+def _met_again(posts: DataFrame) -> DataFrame:
+    """Postings of lists that hold more than one node."""
+    lists = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
+    return materialise(posts.join(lists, "list", "left_semi"), "postings")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified pairs (a, b) of nodes that connect what is similar; `nodes` is (node, sketch) with distinct sketches.
+
+    The members of a list are compared with two of them, its leaders, never each
+    with each: those similar to a leader are connected through it and leave the
+    list; the rest goes on with new leaders until no list has two members left.
+    """
+    spark = nodes.sparkSession
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + ROWS * k, ROWS)) for k in range(SKETCH // ROWS)])
+    posts = _met_again(nodes.select("node", F.explode(keys).alias("list")))
+    least = int(SKETCH * similarity - 3.5 * (SKETCH * similarity * (1 - similarity)) ** 0.5)
+    found = spark.createDataFrame([], "a long, b long")
+    while not posts.isEmpty():
+        # four orders of the nodes, so that not all lists of a group have the same leaders
+        place = F.struct(F.xxhash64(F.pmod("list", F.lit(4)), "node").alias("o"), "node")
+        ends = posts.groupBy("list").agg(F.min(place).node.alias("x"), F.max(place).node.alias("y"))
+        leaders = ends.select("list", F.explode(F.array("x", "y")).alias("leader"))
+        met = posts.join(leaders, "list").where("leader <> node").select(
+            "list", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        pairs = met.select("a", "b").distinct().join(found, ["a", "b"], "left_anti")
+        near = materialise(_tallied(pairs, nodes, least), "tallied")
+        found = materialise(found.unionByName(_verified(near, texts, shingle, similarity)), "similar")
+        gone = met.join(found, ["a", "b"], "left_semi").select("list", "node").unionByName(leaders.toDF("list", "node")).distinct()
+        posts = _met_again(posts.join(gone, ["list", "node"], "left_anti"))
+    return found
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
+    """(id, fp, component_id) like `near_duplicates`, with links between documents whose sets of shingles overlap by `similarity` too.
+
+    Two texts of exactly that similarity share a list with a probability of
+    0.998. Nulls, empty and repeated rows, other columns and empty tables are
+    treated as in `near_duplicates`; of several texts of one id the largest is
+    verified.
+    """
+    found = materialise(profiles(docs, id_col, text_col, shingle), "profiles")
+    known = found.where("id is not null")
+    by_fp = materialise(known.groupBy("fp").agg(F.min("id").alias("node")), "fp-nodes")
+    by_sketch = materialise(known.where("sketch is not null").groupBy("sketch").agg(F.min("id").alias("node")), "sketch-nodes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    links = [fingerprint_links(by_fp, max_bits), similar_links(by_sketch, texts, shingle, similarity)]
+    links += [known.join(nodes, key).select(F.col("node").alias("a"), F.col("id").alias("b")) for nodes, key in ((by_fp, "fp"), (by_sketch, "sketch"))]
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    roots = connected_components(edges, "a", "b")
+    classes = by_fp.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return found.join(materialise(classes, "fp-classes"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -122,6 +122,49 @@ def test_simhash_odd_rows(odd, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def shingles_by_hand(text, k):
+    words = WORD.findall(lower(text))
+    return {" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_similar_documents_of_sample(data):
+    """Components are those of all pairs that share 0.8 of their shingles, or 3 bits."""
+    rows = {r.doc_id: r.text for r in data("documents").select("doc_id", "text").collect()}
+    ids, sets = sorted(rows), {i: shingles_by_hand(t, 5) for i, t in rows.items()}
+    fps = {i: fingerprint_by_hand(t, 5) for i, t in rows.items()}
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[:n]
+             if (fps[a] ^ fps[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components(links, ids)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(data("documents")).collect()}
+    assert got == want
+
+
+def test_planted_copies(docs):
+    """Copies with a few words changed at increasing numbers of places; unrelated texts and texts half alike stay apart."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    for g in range(20):
+        base = [word() for _ in range(300)]
+        for c in range(6):
+            copy = list(base)
+            for at in rng.sample(range(300), c):
+                copy[at] = word()
+            rows.append((10 * g + c, " ".join(copy)))
+            want[10 * g + c] = 10 * g
+        rows.append((10 * g + 9, " ".join(base[:150] + [word() for _ in range(150)])))
+        want[10 * g + 9] = 10 * g + 9
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows)).collect()}
+    assert got == want
+
+
+def test_similar_documents_odd_rows(odd, docs):
+    got = by_id(simhash.similar_documents(odd))
+    assert {r.component_id for i in (1, 2, 3, 7) for r in got[i]} == {1}
+    assert len(got[4]) == 2 and got[4][0].component_id == 4 and len(got[None]) == 1
+    assert simhash.similar_documents(docs([])).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(1)
     names = rng.sample(range(10_000), 700)
