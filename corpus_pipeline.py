@@ -31,8 +31,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays, once."""
-    found = simhash.near_duplicates(docs, shingle=5, max_bits=3)
+    """The document with the smallest id of each group of near copies (0.8 of all shingles of five words) stays, once."""
+    found = simhash.similar_documents(docs, shingle=5, similarity=0.8)
     gone = materialise(found.where("doc_id > component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
