@@ -32,6 +32,11 @@ def as_bytes(column) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def each_bytes(column) -> Iterator[bytes]:
+    """The same one after the other, without holding all of a batch twice."""
+    return (v.as_py() or b"" for v in column.cast(pa.binary()))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` with this package at hand in the workers."""
     ship(df.sparkSession)

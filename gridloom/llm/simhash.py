@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, map_batches, map_texts
+from gridloom.llm.common import as_bytes, each_bytes, map_batches, map_texts
 from gridloom.llm.components import connected_components
 from gridloom.session import materialise
 
@@ -133,7 +133,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     """(id, fp, sketch) for every row; null text counts as empty, an empty text has no sketch."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, sketches = [], []
-        for text in as_bytes(batch.column(1)):
+        for text in each_bytes(batch.column(1)):
             blocks = list(shingle_hashes(text, shingle))
             fps.append(majority(blocks))
             sketches.append(sketch(blocks))
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         last, x = b"", shingles(b"")
         for batch in batches:
             keep = []
-            for ta, tb in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3))):
+            for ta, tb in zip(each_bytes(batch.column(2)), each_bytes(batch.column(3))):
                 if ta != last:
                     last, x = ta, shingles(ta)
                 y = shingles(tb)
@@ -175,28 +175,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
 
 def _met_again(posts: DataFrame) -> DataFrame:
-    """Postings of lists that hold more than one node."""
-    lists = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
-    return materialise(posts.join(lists, "list", "left_semi"), "postings")
+    """(list, node, n) of lists that hold n > 1 nodes."""
+    lists = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialise(posts.select("list", "node").join(lists, "list"), "postings")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified pairs (a, b) of nodes that connect what is similar; `nodes` is (node, sketch) with distinct sketches.
 
-    The members of a list are compared with two of them, its leaders, never each
-    with each: those similar to a leader are connected through it and leave the
-    list; the rest goes on with new leaders until no list has two members left.
+    The members of a list are compared with its leaders: those similar to one
+    are connected through it and leave the list, like the leaders. The rest
+    goes on until no list has two members left. The first round has two leaders,
+    each further one about twice as many as the one before, so the rounds grow
+    with the logarithm of the members that are similar to none.
     """
     spark = nodes.sparkSession
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + ROWS * k, ROWS)) for k in range(SKETCH // ROWS)])
     posts = _met_again(nodes.select("node", F.explode(keys).alias("list")))
     least = int(SKETCH * similarity - 3.5 * (SKETCH * similarity * (1 - similarity)) ** 0.5)
-    found = spark.createDataFrame([], "a long, b long")
+    found, more = spark.createDataFrame([], "a long, b long"), 0
     while not posts.isEmpty():
         # four orders of the nodes, so that not all lists of a group have the same leaders
-        place = F.struct(F.xxhash64(F.pmod("list", F.lit(4)), "node").alias("o"), "node")
+        order = F.xxhash64(F.pmod("list", F.lit(4)), "node")
+        place = F.struct(order.alias("o"), "node")
         ends = posts.groupBy("list").agg(F.min(place).node.alias("x"), F.max(place).node.alias("y"))
         leaders = ends.select("list", F.explode(F.array("x", "y")).alias("leader"))
+        if more:
+            chosen = posts.where(F.pmod(order, F.col("n")) < more).select("list", F.col("node").alias("leader"))
+            leaders = leaders.unionByName(chosen).distinct()
         met = posts.join(leaders, "list").where("leader <> node").select(
             "list", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
         pairs = met.select("a", "b").distinct().join(found, ["a", "b"], "left_anti")
@@ -204,6 +210,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
         found = materialise(found.unionByName(_verified(near, texts, shingle, similarity)), "similar")
         gone = met.join(found, ["a", "b"], "left_semi").select("list", "node").unionByName(leaders.toDF("list", "node")).distinct()
         posts = _met_again(posts.join(gone, ["list", "node"], "left_anti"))
+        more = 2 * more or 4
     return found
 
 
