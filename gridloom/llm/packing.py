@@ -28,8 +28,8 @@ from gridloom.llm.common import WordTable, as_bytes, map_texts
 from gridloom.session import materialise, ship
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTable:
-    """Ids of words as little-endian 32-bit bytes."""
+def word_tokens(path: str, table_words: int) -> WordTable:
+    """Ids of words as little-endian 32-bit bytes, for at most twice `table_words` words at hand."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
     from tokenizers import Tokenizer
 
@@ -39,16 +39,17 @@ def word_tokens(path: str) -> WordTable:
         for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
             yield np.asarray(e.ids, "<u4").tobytes()
 
-    return WordTable(encode, 1 << 18)
+    return WordTable(encode, table_words)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
+           table_words: int = 1 << 18) -> DataFrame:
     """(id, piece, start, length, ids) of every document; `ids` are little-endian unsigned 32-bit numbers."""
     size, end = 4 * capacity, np.asarray([end_id], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        tokens = word_tokens(tokenizer)
+        tokens = word_tokens(tokenizer, table_words)
         for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
             ids = tokens.lookup(text.split()) + end
             out += [(doc, k, at // 4, len(ids[at:at + size]) // 4, ids[at:at + size]) for k, at in enumerate(range(0, len(ids), size))]
@@ -103,14 +104,15 @@ def place(cut: DataFrame, capacity: int = 2048, group_rows: int = 50_000) -> Dat
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-         group_rows: int = 50_000, digest: bool = False) -> DataFrame:
+         group_rows: int = 50_000, digest: bool = False, table_words: int = 1 << 18) -> DataFrame:
     """Pieces of all documents with their place: (id, piece, start, length, ids, sequence_id, offset).
 
+    `table_words` trades the memory of a worker for time; it changes no result.
     With `digest`, `ids_crc32` (CRC-32 of the ids' bytes) stands for `ids`, and
     only numbers are shuffled. Null text counts as empty: one piece that holds
     the end id. Repeated rows are documents of their own, a null id is passed
     on. Other columns are not looked at; an empty table gives an empty table.
     """
-    cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
+    cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, table_words)
     last = F.crc32("ids").alias("ids_crc32") if digest else F.col("ids")
     return place(materialise(cut.select(id_col, "piece", "start", "length", last), "pieces"), capacity, group_rows)
