@@ -39,9 +39,11 @@ def _ordered(raw: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000,
-        most_terms: int = 512, least_chi2: float = 25.0, epochs: int = 25, penalty: float = 1e-4, seed: int = 13) -> OrdinalModel:
+        most_terms: int = 512, least_chi2: float = 25.0, epochs: int = 25, steps: int = 400, penalty: float = 1e-4, seed: int = 13) -> OrdinalModel:
     """Fit on at most `sample_rows` rated documents; `ratings` is (id, grade) with grades 0 to `grades` - 1.
 
+    The sample is gone through `epochs` times, a small one until `steps` batches were seen.
+
     The thresholds start from the shares of the grades; with no ratings, or one
     grade only, they stay there.
     """
@@ -54,7 +56,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     w = np.zeros(len(found.active))
     if len(found.active):
         step = t.adam([raw, w])
-        for _ in range(epochs):
+        for _ in range(found.passes(epochs, steps, 512)):
             for x, y in found.batches(512, rng):
                 theta, z = _ordered(raw), x @ w
                 # cumulative probabilities at both ends of each example's grade

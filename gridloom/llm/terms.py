@@ -96,6 +96,10 @@ class Examples:
     terms: list[np.ndarray]
     ratings: np.ndarray
 
+    def passes(self, epochs: int, steps: int, size: int) -> int:
+        """`epochs`, or as many as make `steps` batches where the sample is small."""
+        return max(epochs, -(-steps // max(1, -(-len(self.terms) // size))))
+
     def batches(self, size: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = rng.permutation(len(self.terms))
         for at in range(0, len(order), size):

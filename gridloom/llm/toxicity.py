@@ -32,9 +32,11 @@ class FactorizationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, most_terms: int = 4096,
-        least_chi2: float = 25.0, factors: int = 8, epochs: int = 25, penalty: float = 1e-4, seed: int = 11) -> FactorizationMachine:
+        least_chi2: float = 25.0, factors: int = 8, epochs: int = 25, steps: int = 400, penalty: float = 1e-4, seed: int = 11) -> FactorizationMachine:
     """Fit on at most `sample_rows` labelled documents; `labels` is (id, 0 or 1).
 
+    The sample is gone through `epochs` times, a small one until `steps` batches were seen.
+
     Without labels, or with one label only, the score is that label's share.
     """
     found = t.examples(t.sample(docs, labels, id_col, text_col, sample_rows), t.word_terms, t.no_terms, most_terms, least_chi2)
@@ -44,7 +46,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     v = rng.normal(0, 0.01, (len(found.active), factors))
     if len(found.active):
         step = t.adam([w0, w, v])
-        for _ in range(epochs):
+        for _ in range(found.passes(epochs, steps, 512)):
             for x, y in found.batches(512, rng):
                 xv = x @ v
                 z = w0 + x @ w + 0.5 * (xv ** 2 - x @ v ** 2).sum(1)
