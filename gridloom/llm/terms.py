@@ -166,7 +166,7 @@ def score_texts(docs: DataFrame, text_col: str, active: np.ndarray, terms: Terms
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = places(sent.value)
-        table = WordTable(lambda ws: (at(terms(w)).tobytes() for w in ws))
+        table = WordTable(lambda ws: (at(terms(w)).tobytes() for w in ws), 1 << 16)
         for batch in batches:
             found = []
             for text in as_bytes(batch.column(0)):
