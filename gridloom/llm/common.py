@@ -37,9 +37,21 @@ def each_bytes(column) -> Iterator[bytes]:
     return (v.as_py() or b"" for v in column.cast(pa.binary()))
 
 
+#: Spark's setting for the bytes of an Arrow batch, its default, and what is used in place of the default.
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """`mapInArrow` with this package at hand in the workers.
+
+    A batch is held several times over (by the executor, by Arrow, as Python
+    objects, as results), so the session's batches are cut at 4 MB unless it
+    has a bound of its own; no result depends on it.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, _BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 
