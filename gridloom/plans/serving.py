@@ -62,7 +62,10 @@ def day_summary(df: DataFrame, *, keys: Sequence[str] = (), value: str = "price"
 
 def history_compare(actual: DataFrame, pred: DataFrame, start: Column, end: Column, versions: Sequence[str], *,
                     keys: Sequence[str] = ()) -> DataFrame:
-    """Measured and predicted price for every day and period of a range, both ends included."""
+    """Measured and predicted price for every day and period of a range, both ends included.
+
+    A series counts that has a measured row at any time, or a prediction in the range.
+    """
     stop = F.date_add(end, 1).cast("timestamp_ntz")
     first = start.cast("timestamp_ntz")
     seen = actual.where((col("ts") >= first) & (col("ts") < stop)).select(
@@ -72,7 +75,7 @@ def history_compare(actual: DataFrame, pred: DataFrame, start: Column, end: Colu
     guess = chosen.select(*keys, step_index(col("target_time")).alias("_step"),
                           F.bround("predicted_price", 1).alias("predicted"))
     both = seen.join(guess, [*keys, "_step"], "full")
-    span = (actual.select(*keys).distinct() if keys else actual.sparkSession.range(1).select())
+    span = (actual.select(*keys).union(chosen.select(*keys)).distinct() if keys else actual.sparkSession.range(1).select())
     bounds = span.select(*keys, step_index(first).alias("_lo"), (step_index(stop) - 1).alias("_hi"))
     dense = spine(bounds, series=list(keys)).join(both, [*keys, "_step"], "left")
     ts = step_time(F.col("_step"))

@@ -317,10 +317,11 @@ def rolling_scores(scored: DataFrame) -> DataFrame:
 
 def two_stage_predict(df: DataFrame, stage1: dict, stage2: dict, *, policy: DataFrame | None = None,
                       anchor_lags: Sequence[str] = ("price_lag96", "price_lag672")) -> DataFrame:
-    """Price for every row whose season has models.
+    """Price for every row.
 
     Stage 1, interactions, three segment models, blend, anchor, guard; a price that
-    cannot be computed becomes 0, and `resid_pred` stays null there. `df` should be
+    cannot be computed becomes 0, and `resid_pred` stays null there, as in months
+    that belong to no season with models. `df` should be
     a stored feature table: the models are branches that would each rebuild it.
     """
     df = metrics.price_anchor(df.withColumn("season", calendar.serving_season(F.col("ts"))), anchor_lags)
@@ -336,6 +337,9 @@ def two_stage_predict(df: DataFrame, stage1: dict, stage2: dict, *, policy: Data
             else:
                 rows = model.transform(rows).withColumnRenamed("raw", f"pred_{g}").drop("features")
         frames.append(blend(rows).select("series_id", "ts", "season", "period", "anchor", "price_lag96", *OOF, "price_pred"))
+    elsewhere = df.where(~F.coalesce(F.col("season").isin(SEASONS), F.lit(False)))
+    unknown = [F.lit(None).cast("double").alias(c) for c in (*OOF, "price_pred")]
+    frames.append(elsewhere.select("series_id", "ts", "season", "period", "anchor", "price_lag96", *unknown))
     out = _union(frames)
     out = guard_apply(out, policy) if policy is not None else out.withColumn("price_served", F.col("price_pred"))
     return out.select(

@@ -8,6 +8,8 @@ of the same batch gives the same table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +77,17 @@ def write_upsert(incoming: DataFrame, path: str, keys: Sequence[str], partition_
 PREDICTION_PARTITION = ("target_date", "model_version")
 
 
-def replace_predictions(df: DataFrame, path: str) -> None:
-    """Replace whole (date, version) partitions by the new predictions."""
+def replace_predictions(df: DataFrame, path: str, series: Sequence[str] = ("series_id",)) -> None:
+    """Replace the predictions of the (date, version, series) that the new ones name; other series of such a date stay."""
     dated = df.withColumn("target_date", F.to_date("target_time"))
+    names = [c for c in series if c in df.columns]
+    if names and _exists(df.sparkSession, path):
+        table, named = df.sparkSession.read.parquet(path), [*PREDICTION_PARTITION, *names]
+        new = dated.select(*[col(c).alias(f"_new_{c}") for c in named]).distinct()
+        same = [col(c).eqNullSafe(F.col(f"_new_{c}")) for c in named]
+        touched = table.join(dated.select(*PREDICTION_PARTITION).distinct(), list(PREDICTION_PARTITION), "left_semi")
+        kept = touched.join(new, reduce(and_, same), "left_anti").select(*[col(c) for c in dated.columns])
+        dated = materialise(dated.unionByName(kept), "replace")
     overwrite_partitions(dated, path, PREDICTION_PARTITION)
 
 

@@ -140,6 +140,16 @@ def test_upsert_is_idempotent_and_ordered(spark):
     assert rows(whole_row) == [(1, "a", 1.0), (2, "c", None)]   # nulls replace, too
 
 
+def test_replaced_predictions_leave_other_series(spark):
+    path = work_path(spark, "pred")
+    schema = "series_id string, target_time timestamp_ntz, predicted_price double, model_version string"
+    store.replace_predictions(spark.createDataFrame([(s, at(k), 1.0, "v") for s in ("a", "b", None) for k in (0, 1, 96)], schema), path)
+    store.replace_predictions(spark.createDataFrame([("a", at(0), 2.0, "v"), ("c", at(0), 3.0, "v")], schema), path)
+    got = sorted((r.series_id or "", r.target_time, r.predicted_price) for r in spark.read.parquet(path).collect())
+    assert got == [("", at(0), 1.0), ("", at(1), 1.0), ("", at(96), 1.0), ("a", at(0), 2.0), ("a", at(96), 1.0),
+                   ("b", at(0), 1.0), ("b", at(1), 1.0), ("b", at(96), 1.0), ("c", at(0), 3.0)]
+
+
 def test_partition_writes_touch_only_their_dates(spark):
     path = work_path(spark, "pred")
     rows = [(at(i * 96), float(i), v) for i in range(3) for v in ("v", "w")]

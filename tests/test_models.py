@@ -163,6 +163,14 @@ def test_chunk_border_does_not_change_features(spark, monkeypatch):
     assert diff.agg(F.sum("n_beyond"), F.min("n")).first() == (0, 12 * 96)
 
 
+def test_rows_without_a_season_are_served(spark):
+    feats = features.build_features(wave_grid(spark, "2026-09-28", 9), hourly_weather(spark, "2026-09-28", 9 * 24))
+    pred = training.two_stage_predict(feats, {}, {})
+    autumn = pred.where(F.month("ts") == 10)
+    assert pred.count() == 9 * 96 and autumn.count() == 6 * 96
+    assert autumn.where("predicted_price = 0 AND resid_pred IS NULL").count() == 6 * 96
+
+
 def test_two_stage_chain(spark, tmp_path):
     """Train both stages on two seasons, save and load, serve with the guard."""
     from gridloom.plans import jobs

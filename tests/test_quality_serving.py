@@ -86,6 +86,14 @@ def test_history_is_dense_and_includes_the_last_quarter(spark):
     assert len(arrays.actual) == 96 and arrays.actual[95] == 10.0 and arrays.predicted[0] is None
 
 
+def test_history_of_a_series_with_predictions_only(spark):
+    actual = spark.createDataFrame([("a", at(0), 1.0)], "series_id string, ts timestamp_ntz, price double")
+    p = spark.createDataFrame([("b", at(3), 7.0, "v")], "series_id string, target_time timestamp_ntz, predicted_price double, model_version string")
+    day = F.lit(date(2024, 1, 1))
+    h = serving.history_compare(actual, p, day, day, ["v"], keys=S)
+    assert {(r.series_id, r.n, r.p) for r in h.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("predicted").alias("p")).collect()} == {("a", 96, None), ("b", 96, 7.0)}
+
+
 def test_table_stats_and_first_rows(series):
     df = series({1: [1.0, 2.0], 2: [3.0]})
     rows = serving.table_stats(df, keys=S, expected=2).orderBy("series_id").collect()
