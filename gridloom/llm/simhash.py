@@ -174,42 +174,73 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return map_batches(both, run, "a long, b long")
 
 
-def _met_again(posts: DataFrame) -> DataFrame:
-    """(list, node, n) of lists that hold n > 1 nodes."""
-    lists = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialise(posts.select("list", "node").join(lists, "list"), "postings")
+def _unsettled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(list, node, label, degree, top, outside) of lists whose members have several labels.
+
+    `top` is the label most members of a list have, `outside` counts those with another one.
+    """
+    if labels is None:
+        held = posts.select("list", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree"))
+        lists = held.groupBy("list").agg(F.max("node").alias("top"), (F.count(F.lit(1)) - 1).alias("outside"))
+    else:
+        held = posts.select("list", "node").join(labels, "node", "left").select(
+            "list", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        shares = held.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
+        lists = shares.groupBy("list").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
+            "list", F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("outside"))
+    return materialise(held.join(lists.where("outside > 0"), "list"), "postings")
+
+
+def _labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, label, degree) of all nodes with links: nodes of one label are connected, those connected get one label round by round."""
+    both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    known = labels.select("node", "label") if labels is not None else both.select("node", F.col("node").alias("label")).limit(0)
+    for _ in range(2):
+        near = both.join(known.toDF("other", "label"), "other", "left").groupBy("node").agg(
+            F.min(F.coalesce("label", "other")).alias("least"), F.count(F.lit(1)).alias("degree"))
+        labels = near.join(known, "node", "left").select("node", F.least("least", F.coalesce("label", "node")).alias("label"), "degree")
+        known = labels.select("node", "label")
+    return materialise(labels, "labels")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified pairs (a, b) of nodes that connect what is similar; `nodes` is (node, sketch) with distinct sketches.
 
-    The members of a list are compared with its leaders: those similar to one
-    are connected through it and leave the list, like the leaders. The rest
-    goes on until no list has two members left. The first round has two leaders,
-    each further one about twice as many as the one before, so the rounds grow
-    with the logarithm of the members that are similar to none.
+    Every two members of a list are compared or already connected. In each
+    round the leaders of a list are compared with all its members that are not
+    known to be connected with them, and only leaders leave; who joined one
+    stays, as others may be similar to that member alone. A list is settled
+    when all members left are connected. Leaders are the member with the most
+    links so far (the original of many copies) and members outside the largest
+    connected part: one in the first round, then about twice as many each time,
+    so the rounds grow with the logarithm of the members that are similar to none.
     """
     spark = nodes.sparkSession
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + ROWS * k, ROWS)) for k in range(SKETCH // ROWS)])
-    posts = _met_again(nodes.select("node", F.explode(keys).alias("list")))
+    labels = None
+    posts = _unsettled(nodes.select("node", F.explode(keys).alias("list")), labels)
     least = int(SKETCH * similarity - 3.5 * (SKETCH * similarity * (1 - similarity)) ** 0.5)
     found, more = spark.createDataFrame([], "a long, b long"), 0
+    seen = found
     while not posts.isEmpty():
         # four orders of the nodes, so that not all lists of a group have the same leaders
         order = F.xxhash64(F.pmod("list", F.lit(4)), "node")
-        place = F.struct(order.alias("o"), "node")
-        ends = posts.groupBy("list").agg(F.min(place).node.alias("x"), F.max(place).node.alias("y"))
-        leaders = ends.select("list", F.explode(F.array("x", "y")).alias("leader"))
+        outside = F.col("label") != F.col("top")
+        ends = posts.groupBy("list").agg(F.max(F.struct("degree", order.alias("o"), "node", "label")).alias("x"),
+                                         F.min(F.when(outside, F.struct(order.alias("o"), "node", "label"))).alias("y"))
+        pick = [F.struct(F.col(f"{e}.node").alias("leader"), F.col(f"{e}.label").alias("led")) for e in "xy"]
+        leaders = ends.select("list", F.inline(F.array(*pick)))
         if more:
-            chosen = posts.where(F.pmod(order, F.col("n")) < more).select("list", F.col("node").alias("leader"))
-            leaders = leaders.unionByName(chosen).distinct()
-        met = posts.join(leaders, "list").where("leader <> node").select(
-            "list", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-        pairs = met.select("a", "b").distinct().join(found, ["a", "b"], "left_anti")
+            chosen = posts.where(outside & (F.pmod(order, F.col("outside")) < more))
+            leaders = leaders.unionByName(chosen.select("list", F.col("node").alias("leader"), F.col("label").alias("led")))
+        leaders = leaders.distinct()
+        met = posts.join(leaders, "list").where("leader <> node and led <> label")
+        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
         near = materialise(_tallied(pairs, nodes, least), "tallied")
+        seen = seen.unionByName(near)
         found = materialise(found.unionByName(_verified(near, texts, shingle, similarity)), "similar")
-        gone = met.join(found, ["a", "b"], "left_semi").select("list", "node").unionByName(leaders.toDF("list", "node")).distinct()
-        posts = _met_again(posts.join(gone, ["list", "node"], "left_anti"))
+        labels = _labels(found, labels)
+        posts = _unsettled(posts.join(leaders.select("list", F.col("leader").alias("node")), ["list", "node"], "left_anti"), labels)
         more = 2 * more or 4
     return found
 

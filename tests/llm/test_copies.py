@@ -158,6 +158,29 @@ def test_planted_copies(docs):
     assert got == want
 
 
+def test_copies_of_one_original_each_edited_on_its_own(docs):
+    """Star families: every copy is 0.8 similar to the original, copies among each other are not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, sets = [], {}
+    for g, (copies, edits) in enumerate([(300, 6), (150, 5), (20, 6)]):
+        base = [word() for _ in range(304)]
+        for c in range(copies + 1):
+            copy = list(base)
+            start = rng.randrange(40)
+            for at in range(start, start + 50 * edits, 50) if c != copies // 2 else ():
+                copy[at % 304] = word()
+            rows.append((1000 * g + c, " ".join(copy)))
+            sets[1000 * g + c] = shingles_by_hand(rows[-1][1], 5)
+    ids = sorted(sets)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if a // 1000 == b // 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) < 20 * len(ids)
+    want = components(links, ids)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows)).collect()}
+    assert set(want.values()) == {0, 1000, 2000}
+    assert [i for i in ids if got[i] != want[i]] == []
+
+
 def test_similar_documents_odd_rows(odd, docs):
     got = by_id(simhash.similar_documents(odd))
     assert {r.component_id for i in (1, 2, 3, 7) for r in got[i]} == {1}
