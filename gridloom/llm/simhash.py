@@ -141,6 +141,11 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, fp long, sketch binary", run)
 
 
+def _least_shared(similarity: float) -> int:
+    """Positional bytes that two sketches of that similarity share, but for one pair in some thousands."""
+    return int(SKETCH * similarity - 3.5 * (SKETCH * similarity * (1 - similarity)) ** 0.5)
+
+
 def _tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """Of pairs (a, b) those whose sketches share at least `least` positional bytes."""
     held = nodes.select("node", "sketch")
@@ -219,7 +224,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + ROWS * k, ROWS)) for k in range(SKETCH // ROWS)])
     labels = None
     posts = _unsettled(nodes.select("node", F.explode(keys).alias("list")), labels)
-    least = int(SKETCH * similarity - 3.5 * (SKETCH * similarity * (1 - similarity)) ** 0.5)
+    least = _least_shared(similarity)
     found, more = spark.createDataFrame([], "a long, b long"), 0
     seen = found
     while not posts.isEmpty():
@@ -246,26 +251,41 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
-    """(id, fp, component_id) like `near_duplicates`, with links between documents whose sets of shingles overlap by `similarity` too.
-
-    Two texts of exactly that similarity share a list with a probability of
-    0.998. Nulls, empty and repeated rows, other columns and empty tables are
-    treated as in `near_duplicates`; of several texts of one id the largest is
-    verified.
+    """(id, fp, component_id): components of documents whose sets of shingles overlap by `similarity`.
+
+    Candidates come from the sketches and, in addition, from fingerprints that
+    differ in at most `max_bits` bits or not at all; a fingerprint alone links
+    nothing, as one repeated line can decide it. Two texts of exactly that
+    similarity share a list with a probability of 0.998. Documents of one
+    sketch (120 equal bytes), and those without words, are one node. Nulls,
+    empty and repeated rows, other columns and empty tables are treated as in
+    `near_duplicates`, but a row with a null id gets the component of its
+    sketch; of several texts of one id the largest is verified.
     """
-    found = materialise(profiles(docs, id_col, text_col, shingle), "profiles")
+    found = profiles(docs, id_col, text_col, shingle)
+    found = materialise(found.withColumn("sketch", F.coalesce("sketch", F.lit(b""))), "profiles")
     known = found.where("id is not null")
-    by_fp = materialise(known.groupBy("fp").agg(F.min("id").alias("node")), "fp-nodes")
-    by_sketch = materialise(known.where("sketch is not null").groupBy("sketch").agg(F.min("id").alias("node")), "sketch-nodes")
+    by_sketch = materialise(known.groupBy("sketch").agg(F.min("id").alias("node")), "sketch-nodes")
+    worded = by_sketch.where(F.octet_length("sketch") > 0)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    links = [fingerprint_links(by_fp, max_bits), similar_links(by_sketch, texts, shingle, similarity)]
-    links += [known.join(nodes, key).select(F.col("node").alias("a"), F.col("id").alias("b")) for nodes, key in ((by_fp, "fp"), (by_sketch, "sketch"))]
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    roots = connected_components(edges, "a", "b")
-    classes = by_fp.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return found.join(materialise(classes, "fp-classes"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    links = similar_links(worded, texts, shingle, similarity)
+    roots = materialise(connected_components(links, "a", "b"), "sketch-roots")
+
+    # fingerprints: of each one its first node, with the others of that fingerprint and with the first nodes of near ones
+    of_fp = materialise(known.join(worded, "sketch").select("fp", "node").distinct(), "fp-nodes")
+    first = materialise(of_fp.groupBy("fp").agg(F.min("node").alias("node")), "fp-first")
+    equal = of_fp.join(first.withColumnRenamed("node", "a"), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    pairs = fingerprint_links(first, max_bits).where("a <> b").unionByName(equal)
+    open_pairs = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where(
+        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = materialise(_tallied(open_pairs, worded, _least_shared(similarity)), "fp-tallied")
+    links = links.unionByName(materialise(_verified(near, texts, shingle, similarity), "fp-similar"))
+
+    # a document of several texts (a repeated id) connects their sketches
+    links = links.unionByName(known.join(by_sketch, "sketch").select(F.col("node").alias("a"), F.col("id").alias("b")))
+    roots = connected_components(links, "a", "b")
+    classes = by_sketch.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
+    return found.join(materialise(classes, "sketch-classes"), "sketch", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:

@@ -181,6 +181,18 @@ def test_copies_of_one_original_each_edited_on_its_own(docs):
     assert [i for i in ids if got[i] != want[i]] == []
 
 
+def test_equal_fingerprints_of_different_texts_are_no_link(docs):
+    """A cycle repeated over most of a text decides the fingerprint; only texts that share their shingles are copies."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    cycle = [word() for _ in range(9)]
+    rows = [(i, " ".join(cycle * 75 + [word() for _ in range(300)])) for i in range(8)]
+    rows += [(20, " ".join(rows[3][1].split() + [word()])), (21, rows[4][1])]
+    assert len({fingerprint_by_hand(t, 5) for _, t in rows}) == 1
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows)).collect()}
+    assert got == {**{i: i for i in range(8)}, 20: 3, 21: 4}
+
+
 def test_similar_documents_odd_rows(odd, docs):
     got = by_id(simhash.similar_documents(odd))
     assert {r.component_id for i in (1, 2, 3, 7) for r in got[i]} == {1}
