@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=queries.CAPACITY, digest=True, table_words=1 << 16)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=queries.CAPACITY, table_words=1 << 16)
 
 
 STAGES = [

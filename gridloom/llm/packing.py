@@ -15,7 +15,7 @@ before are looked up in a bounded table.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -81,16 +81,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> Iterator[tuple[int, in
         yield number, capacity - gap
 
 
-def place(cut: DataFrame, capacity: int = 2048, group_rows: int = 50_000) -> DataFrame:
+def place(cut: DataFrame, capacity: int = 2048, group_rows: int = 50_000, by: Sequence[str] = ()) -> DataFrame:
     """Add `sequence_id` and `offset` to a table of pieces with a `length` of 1 to `capacity`.
 
     Groups of about `group_rows` pieces bound what a task holds; a larger group
-    fills its sequences slightly better. The table should be written: its rows
-    are counted first.
+    fills its sequences slightly better. Rows are dealt by the columns `by`, all
+    unless named. The table should be written: its rows are counted first.
     """
     groups = max(1, round(cut.count() / group_rows))
     ship(cut.sparkSession)
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(*cut.columns), F.lit(groups)))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(*(by or cut.columns)), F.lit(groups)))
 
     def pack(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("length", ascending=False, kind="stable")
@@ -108,11 +108,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Pieces of all documents with their place: (id, piece, start, length, ids, sequence_id, offset).
 
     `table_words` trades the memory of a worker for time; it changes no result.
-    With `digest`, `ids_crc32` (CRC-32 of the ids' bytes) stands for `ids`, and
-    only numbers are shuffled. Null text counts as empty: one piece that holds
-    the end id. Repeated rows are documents of their own, a null id is passed
-    on. Other columns are not looked at; an empty table gives an empty table.
+    The places are found from the lengths alone, then the ids are joined to
+    them; with `digest`, `ids_crc32` (CRC-32 of the placed ids' bytes) is added.
+    Null text counts as empty: one piece that holds the end id. Repeated rows
+    are documents of their own, a null id is passed on. Other columns are not
+    looked at; an empty table gives an empty table.
     """
     cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, table_words)
-    last = F.crc32("ids").alias("ids_crc32") if digest else F.col("ids")
-    return place(materialise(cut.select(id_col, "piece", "start", "length", last), "pieces"), capacity, group_rows)
+    cut = materialise(cut.select(id_col, "piece", "start", "length", "ids", F.crc32("ids").alias("_crc"), F.monotonically_increasing_id().alias("_row")), "pieces")
+    dealt_by = [id_col, "piece", "start", "length", "_crc"]
+    placed = materialise(place(cut.select(*dealt_by, "_row"), capacity, group_rows, dealt_by).select("_row", "sequence_id", "offset"), "places")
+    out = cut.select("_row", id_col, "piece", "start", "length", "ids").join(placed, "_row").drop("_row")
+    return out.withColumn("ids_crc32", F.crc32("ids")) if digest else out

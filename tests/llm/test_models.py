@@ -103,6 +103,17 @@ def test_packing_odd_rows(odd, docs):
     assert packing.pack(docs([]), TOKENS).count() == 0
 
 
+def test_packed_ids_are_returned(data, odd):
+    """The ids come with their place, digest or not, in the pipeline's last stage too; op6 names them by their CRC-32."""
+    spark = data("documents").sparkSession
+    last = corpus_pipeline.pack_sequences(spark, data("documents").limit(50), DATA)
+    assert "ids" in last.columns and all(r.length == len(r.ids) // 4 > 0 for r in last.collect())
+    rows = packing.pack(odd, TOKENS, capacity=64, digest=True).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in rows) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    op6 = queries.RUNS["op6_packing"](spark, DATA)
+    assert op6.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_pipeline_stages(spark):
     """Every stage keeps rows of the one before; the last places each of them once."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
