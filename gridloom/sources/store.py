@@ -92,7 +92,8 @@ def replace_predictions(df: DataFrame, path: str, series: Sequence[str] = ("seri
 
 
 def _with_last(rows: DataFrame, pred: DataFrame, version: str, keys: Sequence[str]) -> DataFrame:
-    """`_last`: the last date the version covers, for each series named by `keys`."""
+    """`_last`: the last date the version covers, for each series named by `keys`; a table without these columns is one series."""
+    keys = [k for k in keys if k in pred.columns]
     normal = pred.where(col("model_version") == version)
     if not keys:
         return rows.crossJoin(F.broadcast(normal.agg(F.max(F.to_date("target_time")).alias("_last"))))  # one row
@@ -101,14 +102,14 @@ def _with_last(rows: DataFrame, pred: DataFrame, version: str, keys: Sequence[st
     return rows.join(last, same, "left").drop(*[f"_key_{i}" for i in range(len(keys))])
 
 
-def prune_superseded(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ()) -> DataFrame:
+def prune_superseded(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Drop gap-fill rows up to the last date the normal version covers, for each series named by `keys`."""
     joined = _with_last(pred, pred, version, keys)
     superseded = (col("model_version") == gap_version) & (F.to_date("target_time") <= F.col("_last"))
     return joined.where(~F.coalesce(superseded, F.lit(False))).drop("_last")
 
 
-def gap_fill_days(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ()) -> DataFrame:
+def gap_fill_days(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Gap-fill rows of dates after normal coverage, for each series named by `keys`."""
     joined = _with_last(pred.where(col("model_version") == gap_version), pred, version, keys)
     return joined.where(F.col("_last").isNull() | (F.to_date("target_time") > F.col("_last"))).drop("_last")

@@ -195,3 +195,16 @@ def test_each_series_is_pruned_by_its_own_last_day(spark):
     how = dict(version="normal", gap_version="gap", keys=["series_id"])
     assert store.prune_superseded(pred, **how).where("model_version = 'gap'").count() == 2
     assert store.gap_fill_days(pred, **how).count() == 2
+
+
+def test_series_are_pruned_by_their_own_last_day_unless_told_otherwise(spark):
+    from gridloom.sources import store
+
+    rows = [("a", f"2024-01-0{d} 00:00:00", "normal") for d in (1, 2, 3)] + [("b", "2024-01-01 00:00:00", "normal")]
+    rows += [("b", f"2024-01-0{d} 00:00:00", "gap") for d in (1, 2, 3)]
+    pred = spark.createDataFrame(rows, "series_id string, target_time string, model_version string").selectExpr(
+        "series_id", "cast(target_time as timestamp_ntz) target_time", "model_version")
+    how = dict(version="normal", gap_version="gap")
+    assert store.prune_superseded(pred, **how).where("model_version = 'gap'").count() == 2
+    assert store.gap_fill_days(pred, **how).count() == 2
+    assert store.gap_fill_days(pred, **how, keys=()).count() == 0
