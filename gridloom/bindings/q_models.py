@@ -1,11 +1,13 @@
 """Model fitting and serving. Fits are checked for rows; what SQL can express is checked in `q_features`.
 
-All of them read the year grid derived from the events. Trees and folds are
-kept few, as these tables are small.
+All of them read the year grid derived from the events, with all trees, folds
+and rows.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from gridloom import dims
@@ -17,7 +19,8 @@ from gridloom.plans import features, metrics, splits, training
 from gridloom.session import materialise
 from gridloom.sources import store
 
-EFFORT = training.Effort(rounds=3, trees=5, folds=2)
+#: Last day of the rolling window, so that the wet-season models are scored on recent rows.
+AS_OF = date(2024, 6, 30)
 _DONE: dict[tuple, dict] = {}
 
 
@@ -41,21 +44,21 @@ def year_features(spark, sf):
 
 
 def labelled(spark, sf):
-    """Rows up to June with their split, so that the last days are wet-season rows."""
+    """All rows with their split."""
     def make():
-        rows = year_features(spark, sf).drop("season").where(F.month("ts") <= 6)
-        return materialise(splits.split_assign(rows, label="y_price", windows=WINDOWS), "split")
+        rows = year_features(spark, sf).drop("season")
+        return materialise(splits.split_assign(rows, label="y_price", windows=WINDOWS, as_of=AS_OF), "split")
     return _once(spark, sf, "split", make)
 
 
 def stage1(spark, sf):
-    return _once(spark, sf, "stage1", lambda: training.train_stage1(labelled(spark, sf), effort=EFFORT))
+    return _once(spark, sf, "stage1", lambda: training.train_stage1(labelled(spark, sf)))
 
 
 def stage2(spark, sf):
     def make():
         _, oof = stage1(spark, sf)
-        return training.train_stage2(labelled(spark, sf).join(oof, ["series_id", "ts"]), effort=EFFORT)
+        return training.train_stage2(labelled(spark, sf).join(oof, ["series_id", "ts"]))
     return _once(spark, sf, "stage2", make)
 
 
@@ -117,6 +120,5 @@ def daily_inference(spark, sf):
 
     m1, _ = stage1(spark, sf)
     m2, scored = stage2(spark, sf)
-    served = year_features(spark, sf).where(F.month("ts") <= 9)
     policy = training.guard_decision(training.rolling_scores(scored))
-    return latest_predictions(served, m1, m2, policy=policy, version=t.VERSION)
+    return latest_predictions(year_features(spark, sf), m1, m2, policy=policy, version=t.VERSION)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,16 +16,17 @@ ROLLING_DAYS = 7
 
 
 def split_assign(df: DataFrame, *, label: str, windows: Sequence[dims.SplitWindow], ts: str = "ts",
-                 rolling_days: int = ROLLING_DAYS) -> DataFrame:
+                 rolling_days: int = ROLLING_DAYS, as_of: date | None = None) -> DataFrame:
     """Add `season`, `split` (train, val, test, rolling or null) and `is_rolling`.
 
-    The last labelled days form the rolling test; labelled days between the end
+    The last labelled days, up to `as_of` if given, form the rolling test; labelled days between the end
     of the fixed test window and those days join the training rows. Windows cover
     whole days. `is_rolling` also marks rolling rows inside a fixed validation or
     test window, where `split` names the fixed window.
     """
     day = F.to_date(col(ts))
-    newest = df.where(col(label).isNotNull()).agg(F.max(day).alias("_newest"))
+    known = col(label).isNotNull() if as_of is None else col(label).isNotNull() & (day <= F.lit(as_of))
+    newest = df.where(known).agg(F.max(day).alias("_newest"))
     out = df.withColumn("season", season(col(ts))).crossJoin(F.broadcast(newest))  # one row
     start = F.date_sub(F.col("_newest"), rolling_days - 1)
     split = F.lit(None).cast("string")

@@ -196,3 +196,19 @@ def test_two_stage_chain(spark, tmp_path):
                                   gap_models=(out["stage1"], loaded), path=str(tmp_path / "p"), version="v1", policy=out["policy"])
     by = {(r.model_version, str(r.target_date)): r["count"] for r in stored.groupBy("model_version", "target_date").count().collect()}
     assert by == {("v1", "2026-05-15"): 96, ("v1_lag192", "2026-05-16"): 96, ("v1_lag192", "2026-05-17"): 96}
+
+
+def test_model_queries_fit_all_trees_folds_and_rows(spark, monkeypatch):
+    from gridloom.bindings import q_models
+
+    days = ["2024-01-10", "2024-06-20", "2024-06-29", "2024-09-30", "2024-12-31"]
+    frame = spark.createDataFrame([(1, d, 1.0, "x") for d in days], "series_id int, ts string, y_price double, season string")
+    frame = frame.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    monkeypatch.setattr(q_models, "year_features", lambda *_: frame)
+    efforts = []
+    monkeypatch.setattr(q_models, "_DONE", {})
+    monkeypatch.setattr(training, "train_stage1", lambda df, effort=training.Effort(): efforts.append(effort) or ({}, df))
+    q_models.stage1(spark, "full")
+    assert efforts == [training.Effort()]
+    rows = {str(r.ts.date()): r for r in q_models.labelled(spark, "full").collect()}
+    assert sorted(rows) == days and rows["2024-06-29"].is_rolling and not rows["2024-06-20"].is_rolling and rows["2024-12-31"].split is None
