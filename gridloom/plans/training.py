@@ -96,6 +96,14 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
 
+def _score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """Add a model's raw prediction to every row; null where an input is missing, a row the fitted assembler would leave out."""
+    assembler = model.stages[0].copy({model.stages[0].handleInvalid: "keep"})
+    known = [col(c).isNotNull() & ~F.isnan(col(c).cast("double")) for c in assembler.getInputCols()]
+    out = model.stages[-1].transform(assembler.transform(df))
+    return out.withColumn(name, F.when(reduce(lambda a, b: a & b, known), F.col("raw"))).drop("features", "raw")
+
+
 # --- stage 1 -----------------------------------------------------------------
 
 def stage1_anchor(target: str) -> Column:
@@ -171,8 +179,7 @@ def predict_stage1(df: DataFrame, models: dict[tuple[str, str], PipelineModel],
         if model is None:
             df = df.withColumn(f"oof_{t}", F.lit(None).cast("double"))
         else:
-            out = model.transform(df).withColumn(f"oof_{t}", F.col("raw") + stage1_anchor(t))
-            df = out.drop("features", "raw")
+            df = _score(model, df, f"oof_{t}").withColumn(f"oof_{t}", F.col(f"oof_{t}") + stage1_anchor(t))
     return df
 
 
@@ -321,22 +328,25 @@ def two_stage_predict(df: DataFrame, stage1: dict, stage2: dict, *, policy: Data
 
     Stage 1, interactions, three segment models, blend, anchor, guard; a price that
     cannot be computed becomes 0, and `resid_pred` stays null there, as in months
-    that belong to no season with models. `df` should be
+    that belong to no season with models and for rows that lack an input of a model. `df` should be
     a stored feature table: the models are branches that would each rebuild it.
     """
     df = metrics.price_anchor(df.withColumn("season", calendar.serving_season(F.col("ts"))), anchor_lags)
     frames = []
     for season in SEASONS:
         rows = predict_stage1(df.where(F.col("season") == season), stage1, season)
-        rows = rows.fillna(0.0, OOF)
+        if unfitted := [f"oof_{t}" for t in TARGETS if (t, season) not in stage1]:
+            rows = rows.fillna(0.0, unfitted)
         rows, names = stage2_inputs(rows)
         for g in SEGMENTS:
             model = stage2.get((season, g))
             if model is None:
                 rows = rows.withColumn(f"pred_{g}", F.lit(0.0))
             else:
-                rows = model.transform(rows).withColumnRenamed("raw", f"pred_{g}").drop("features")
-        frames.append(blend(rows).select("series_id", "ts", "season", "period", "anchor", "price_lag96", *OOF, "price_pred"))
+                rows = _score(model, rows, f"pred_{g}")
+        known = reduce(lambda a, b: a & b, [F.col(f"pred_{g}").isNotNull() for g in SEGMENTS])
+        rows = blend(rows).withColumn("price_pred", F.when(known, F.col("price_pred")))
+        frames.append(rows.select("series_id", "ts", "season", "period", "anchor", "price_lag96", *OOF, "price_pred"))
     elsewhere = df.where(~F.coalesce(F.col("season").isin(SEASONS), F.lit(False)))
     unknown = [F.lit(None).cast("double").alias(c) for c in (*OOF, "price_pred")]
     frames.append(elsewhere.select("series_id", "ts", "season", "period", "anchor", "price_lag96", *unknown))

@@ -212,3 +212,17 @@ def test_model_queries_fit_all_trees_folds_and_rows(spark, monkeypatch):
     assert efforts == [training.Effort()]
     rows = {str(r.ts.date()): r for r in q_models.labelled(spark, "full").collect()}
     assert sorted(rows) == days and rows["2024-06-29"].is_rolling and not rows["2024-06-20"].is_rolling and rows["2024-12-31"].split is None
+
+
+def test_rows_that_lack_an_input_are_scored_as_unknown(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+
+    names = training.STAGE1_FEATURES["solar"]
+    rows = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "id int, label double").select(
+        "id", "label", *[(F.col("label") + k).alias(n) for k, n in enumerate(names)])
+    tree = GBTRegressor(maxIter=2, featuresCol="features", labelCol="label", predictionCol="raw")
+    model = Pipeline(stages=[training._assembler(names), tree]).fit(rows)
+    holed = rows.withColumn(names[0], F.when(F.col("id") == 1, None).when(F.col("id") == 2, float("nan")).otherwise(F.col(f"`{names[0]}`")))
+    got = {r.id: r.oof_solar for r in training.predict_stage1(holed, {("solar", "dry"): model}, "dry").select("id", "oof_solar").collect()}
+    assert len(got) == 60 and {i for i, v in got.items() if v is None} == {1, 2}
