@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity
+from gridloom.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity
 from gridloom.llm.common import read
 
 RUNS = {}
@@ -166,3 +166,10 @@ def mixture(docs: DataFrame) -> DataFrame:
 @query("op10_mixing", MIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"))
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks), ranks)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
