@@ -1,14 +1,13 @@
 import os
 import sys
-from datetime import datetime, timedelta
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gridloom.session import get_session  # noqa: E402
+from grid_helpers import START, at  # noqa: E402
 
-START = datetime(2024, 1, 1)
+from gridloom.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,10 +19,6 @@ def spark(tmp_path_factory):
     yield s
 
 
-def at(step, start=START, minutes=15):
-    return start + timedelta(minutes=minutes * step)
-
-
 @pytest.fixture
 def series(spark):
     """series({id: [values]}) -> regular frame (series_id, ts, x); None stays null, `...` leaves the row out."""
@@ -31,7 +26,3 @@ def series(spark):
         rows = [(sid, at(i, start, minutes), v) for sid, vs in data.items() for i, v in enumerate(vs) if v is not ...]
         return spark.createDataFrame(rows, f"series_id int, ts timestamp_ntz, {name} double")
     return make
-
-
-def column(df, name, keys=("series_id", "ts")):
-    return [r[name] for r in df.orderBy(*keys).select(name).collect()]

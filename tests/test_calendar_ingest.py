@@ -3,7 +3,7 @@
 import json
 from datetime import date, datetime
 
-from conftest import START, at, column
+from grid_helpers import START, at, column
 from pyspark.sql import functions as F
 
 from gridloom import dims

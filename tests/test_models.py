@@ -5,7 +5,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
-from conftest import START, at, column
+from grid_helpers import START, at, column
 from pyspark.sql import functions as F
 
 from gridloom import dims

@@ -4,7 +4,7 @@ import json
 from datetime import date
 
 import pytest
-from conftest import START, at, column
+from grid_helpers import START, at, column
 from pyspark.sql import functions as F
 
 from gridloom.plans import quality, serving

@@ -7,7 +7,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import START, at, column
+from grid_helpers import START, at, column
 from pyspark.sql import functions as F
 
 from gridloom.functions.timegrid import step_index, step_time
