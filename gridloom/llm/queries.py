@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity
+from gridloom.llm import byte_bpe, conversation_repair, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity
 from gridloom.llm.common import read
 
 RUNS = {}
@@ -168,6 +168,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"))
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that lost all rows are there too."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(conversation_repair.damage(rows)).withColumnRenamed("conv_id", "_found")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_found")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
