@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, conversation_repair, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity
+from gridloom.llm import byte_bpe, conversation_repair, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_alignment, toxicity
 from gridloom.llm.common import read
 
 RUNS = {}
@@ -184,3 +184,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks), ranks)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
