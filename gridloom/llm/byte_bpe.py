@@ -13,6 +13,7 @@ first, the leftmost of equals, as in the rank files.
 from __future__ import annotations
 
 import base64
+import gc
 import json
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
@@ -165,7 +166,9 @@ class Ranks:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Ranks:
-    return Ranks(read_ranks(path))
+    held = Ranks(read_ranks(path))
+    gc.freeze()  # it lives as long as the worker: no collection has to look through it
+    return held
 
 
 def match_ids(path: str, table_words: int) -> WordTable:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.session import ship
@@ -37,21 +37,23 @@ def each_bytes(column) -> Iterator[bytes]:
     return (v.as_py() or b"" for v in column.cast(pa.binary()))
 
 
-#: Spark's setting for the bytes of an Arrow batch, its default, and what is used in place of the default.
-_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+#: Spark's setting for the bytes of an Arrow batch, and its default.
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` with this package at hand in the workers.
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Cut the session's Arrow batches at `size` unless it has a bound of its own; no result depends on it.
 
-    A batch is held several times over (by the executor, by Arrow, as Python
-    objects, as results), so the session's batches are cut at 4 MB unless it
-    has a bound of its own; no result depends on it.
+    A batch is held several times over: by the executor, by Arrow, as Python
+    objects, as results.
     """
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH, _BATCH_BYTES)
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, size)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` with this package at hand in the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

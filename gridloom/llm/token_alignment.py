@@ -16,19 +16,21 @@ shard, whatever the corpus; the shards' number grows with the distinct pairs.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from gridloom.llm import byte_bpe
-from gridloom.llm.common import WordTable, map_batches
+from gridloom.llm.common import WordTable, map_batches, small_batches
 from gridloom.llm.perfect_hash import PerfectHash
 from gridloom.session import materialise, ship
 
@@ -36,16 +38,16 @@ _SPACE = "▁"  # a blank in the pieces' vocabulary
 
 
 class Side:
-    """One tokenizer: ids of " " + text, and the bytes each id stands for."""
+    """One tokenizer: ids of " " + text (little-endian 32-bit), or None if their bytes joined are other ones; and the bytes each id stands for."""
 
-    def __init__(self, ids: Callable[[str], bytes], token: list[bytes]):
+    def __init__(self, ids: Callable[[str], bytes | None], token: list[bytes]):
         self.ids, self.token = ids, token
         self.sizes = np.asarray([len(t) for t in token], np.int64)
 
 
 @lru_cache(maxsize=1)
 def byte_level(path: str, table_words: int) -> Side:
-    """A byte-level vocabulary in a tokenizer's JSON; matches of the byte-level pattern are looked up word by word."""
+    """A byte-level vocabulary in a tokenizer's JSON; matches of the byte-level pattern are looked up one by one, their tokens cut from their own bytes."""
     held = byte_bpe.vocabulary(path).token
     known, split = byte_bpe.match_ids(path, table_words), regex.compile(public_tokenizers.PATTERN).findall
     return Side(lambda text: known.lookup(split(" " + text)), [held.get(i, b"") for i in range(max(held) + 1)])
@@ -63,15 +65,43 @@ def pieces(path: str, table_words: int) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     token = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(names)]
-    whole = any(_SPACE in p.lstrip(_SPACE) for p in names)
-    alone, split = model.piece_to_id(_SPACE), regex.compile(" +[^ ]*").findall
-
-    def encode(words: list[str]) -> Iterator[bytes]:
-        for word, ids in zip(words, model.encode([w[1:] for w in words], num_threads=1)):  # the model puts the first blank back
-            yield np.asarray([alone] if word == " " else ids, "<u4").tobytes()
+    sizes, alone = np.asarray([len(t) for t in token], np.int64), model.piece_to_id(_SPACE)
+    apart = not any(_SPACE in p.lstrip(_SPACE) for p in names)
+    stretches = re.compile(" +[^ ]*").findall
+
+    def spelled(ids: np.ndarray) -> bytes:
+        return b"".join(map(token.__getitem__, ids.tolist()))
+
+    def whole(text: str) -> bytes | None:
+        ids = np.asarray(model.encode(text, num_threads=1), "<u4")
+        return ids.tobytes() if spelled(ids) == b" " + text.encode() else None
+
+    def encode(words: list[str]) -> list[bytes]:
+        """Stretches without their first blank, which the model puts back, in one call: parted where each ends."""
+        joined = [w for w in words if w and w[-1] != " "]  # blanks alone would join the next stretch
+        together = " ".join(joined)
+        ids = np.asarray(model.encode(together, num_threads=1) if joined else [], "<u4")
+        if joined and spelled(ids) != b" " + together.encode():
+            raise ValueError("pieces change the text")
+        ends = np.cumsum([len(w.encode()) + 1 for w in joined])
+        until = np.searchsorted(np.cumsum(sizes[ids]), ends, "right") * 4
+        data, start, out = ids.tobytes(), 0, {}
+        for w, end in zip(joined, until.tolist()):
+            out[w], start = data[start:end], end
+        return [out[w] if w in out else np.asarray(model.encode(w) if w else [alone], "<u4").tobytes() for w in words]
 
     known = WordTable(encode, table_words)
-    return Side(lambda text: next(encode([" " + text])) if whole else known.lookup(split(" " + text)), token)
+
+    def ids(text: str) -> bytes | None:
+        if not apart or _SPACE in text:
+            return whole(text)
+        words = [w[1:] for w in stretches(" " + text)] if "  " in text or text[:1] == " " else text.split(" ")
+        try:
+            return known.lookup(words)
+        except ValueError:
+            return whole(text)
+
+    return Side(ids, token)
 
 
 class Aligned:
@@ -121,23 +151,35 @@ def _number_kind(side: Side) -> str:
 _BLOCK = "block long, id {}, a binary, b binary, pairs array<bigint>, docs array<bigint>"
 
 
-def _blocks(docs: DataFrame, a_path: str, b_path: str, table_words: int) -> DataFrame:
-    """First pass: a row of ids for each document, and after them one row of distinct pairs for their block (an Arrow batch)."""
+def _cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `size` bytes of text, at least a row each."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        held += n or 0
+        if held >= size:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _blocks(docs: DataFrame, a_path: str, b_path: str, table_words: int, block_bytes: int) -> DataFrame:
+    """First pass: a row of ids for each document, and after them one row of distinct pairs for their block."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = byte_level(a_path, table_words), pieces(b_path, table_words)
         a_kind, b_kind = _number_kind(left), _number_kind(right)
         first = TaskContext.get().partitionId() << 32
-        for block, batch in enumerate(batches, first):
+        for block, batch in enumerate((part for batch in batches for part in _cut(batch, block_bytes)), first):
             a, b = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                ids = [np.frombuffer(side.ids(text) if text else b"", "<u4") for side in (left, right)]
-                want = b" " + text.encode()
-                fit = all(b"".join(map(side.token.__getitem__, i.tolist())) == want for side, i in zip((left, right), ids))
-                a.append(ids[0] if fit else ids[0][:0])
-                b.append(ids[1] if fit else ids[1][:0])
+                ids = [side.ids(text) if text else b"" for side in (left, right)]
+                fit = None not in ids
+                a.append(np.frombuffer(ids[0] if fit else b"", "<u4"))
+                b.append(np.frombuffer(ids[1] if fit else b"", "<u4"))
             aligned = Aligned(a, b, left.sizes, right.sizes)
             pairs, n_docs = np.unique(_joined([np.unique(aligned.keys_of(d)) for d in range(len(a))]), return_counts=True)
             n = len(a)
@@ -243,10 +285,10 @@ def _per_slot(parts: DataFrame, shards: DataFrame, slots: int, fn, schema: str)
     return parts.groupBy("shard", "slot").cogroup(met.groupBy("shard", "slot")).applyInArrow(fn, schema)
 
 
-def pair_counts(docs: DataFrame, byte_level_json: str, pieces_model: str, text_col: str = "text", table_words: int = 1 << 16, shard_pairs: int = 1 << 17,
-                fan_in: int = 64) -> DataFrame:
+def pair_counts(docs: DataFrame, byte_level_json: str, pieces_model: str, text_col: str = "text", table_words: int = 1 << 17, block_bytes: int = 1 << 21,
+                shard_pairs: int = 1 << 17, fan_in: int = 64) -> DataFrame:
     """(a, b, n_docs): how many documents link each pair of ids."""
-    blocks = materialise(_blocks(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")), byte_level_json, pieces_model, table_words), "tokens")
+    blocks = materialise(_blocks(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")), byte_level_json, pieces_model, table_words, block_bytes), "tokens")
     counted, _ = _shards_of_blocks(blocks, shard_pairs, fan_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +299,8 @@ def pair_counts(docs: DataFrame, byte_level_json: str, pieces_model: str, text_c
     return map_batches(counted.select("keys", "counts"), run, "a long, b long, n_docs long")
 
 
-def align(docs: DataFrame, byte_level_json: str, pieces_model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 16,
-          shard_pairs: int = 1 << 17, fan_in: int = 64, groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, byte_level_json: str, pieces_model: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 17,
+          block_bytes: int = 1 << 21, shard_pairs: int = 1 << 17, fan_in: int = 64, groups: bool = False) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row per document.
 
     A is the byte-level tokenizer, B the model of pieces, both of a blank and
@@ -271,12 +313,12 @@ def align(docs: DataFrame, byte_level_json: str, pieces_model: str, id_col: str
     Null or empty texts, and texts whose joined tokens differ from a blank and
     the text, have no tokens: zeros and ''. Repeated rows each count as a
     document, a null id is passed on, other columns are not looked at, an empty
-    table gives an empty table. `table_words`, `shard_pairs` and `fan_in` trade
-    memory for time.
+    table gives an empty table. `table_words`, `block_bytes`, `shard_pairs` and
+    `fan_in` trade memory for time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     work = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = materialise(_blocks(work, byte_level_json, pieces_model, table_words), "tokens")
+    blocks = materialise(_blocks(work, byte_level_json, pieces_model, table_words, block_bytes), "tokens")
     counted, parts = _shards_of_blocks(blocks, shard_pairs, fan_in)
     slots = max(1, -(-blocks.where("pairs IS NOT NULL").count() // fan_in))
     answers = _per_slot(parts.select("shard", "slot", "block", "keys"), counted, slots, _answer, "block long, keys binary, found binary")

@@ -86,15 +86,10 @@ ODD_TEXTS = ["", None, " ", "  ", "a ", " a", "a  b   c ", "▁x", "x▁y", "<|e
              "   x", "\x00\x01", "'s'll", "don't stop", "ab" * 20_000, "word " * 3000]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_pairs": 16, "fan_in": 2, "table_words": 4}])
-def test_odd_texts(spark, docs, libraries, sizes):
-    """Many small shards and a deep tree give the same; blocks of two rows."""
-    if sizes:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        got = by_id(token_alignment.align(docs(list(enumerate(ODD_TEXTS))), A, B, groups=True, **sizes))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+@pytest.mark.parametrize("sizes", [{}, {"shard_pairs": 16, "fan_in": 2, "table_words": 4, "block_bytes": 10}])
+def test_odd_texts(docs, libraries, sizes):
+    """Many small blocks and shards and a deep tree give the same."""
+    got = by_id(token_alignment.align(docs(list(enumerate(ODD_TEXTS))), A, B, groups=True, **sizes))
     assert len(got) == len(ODD_TEXTS) and all(len(v) == 1 for v in got.values())
     check(got, ODD_TEXTS, libraries, True)
     assert got[0][0].groups_sha256 == got[1][0].groups_sha256 == got[7][0].groups_sha256 == ""
