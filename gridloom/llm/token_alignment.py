@@ -25,6 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +149,15 @@ def _number_kind(side: Side) -> str:
     return "<u2" if len(side.token) <= 1 << 16 else "<u4"
 
 
+def _packed(ids: np.ndarray, kind: str) -> bytes:
+    """Ids are written once and shuffled once: compressed they are about as large as the text, 1.6 times that otherwise."""
+    return zstandard.compress(ids.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
 _BLOCK = "block long, id {}, a binary, b binary, pairs array<bigint>, docs array<bigint>"
 
 
@@ -185,7 +195,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, table_words: int, block_b
             n = len(a)
             yield pa.RecordBatch.from_arrays([
                 pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)]),
-                pa.array([*(i.astype(a_kind).tobytes() for i in a), None], pa.binary()), pa.array([*(i.astype(b_kind).tobytes() for i in b), None], pa.binary()),
+                pa.array([*(_packed(i, a_kind) for i in a), None], pa.binary()), pa.array([*(_packed(i, b_kind) for i in b), None], pa.binary()),
                 pa.array([*[None] * n, pairs], pa.list_(pa.int64())), pa.array([*[None] * n, n_docs], pa.list_(pa.int64()))],
                 ["block", "id", "a", "b", "pairs", "docs"])
 
@@ -326,8 +336,8 @@ def align(docs: DataFrame, byte_level_json: str, pieces_model: str, id_col: str
     def summed(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         left, right = byte_level(byte_level_json, table_words), pieces(pieces_model, table_words)
         a_text, b_text = _sign_texts(len(left.token), len(right.token))
-        a = [np.frombuffer(v.as_py(), _number_kind(left)) for v in texts.column("a")]
-        b = [np.frombuffer(v.as_py(), _number_kind(right)) for v in texts.column("b")]
+        a = [_unpacked(v.as_py(), _number_kind(left)) for v in texts.column("a")]
+        b = [_unpacked(v.as_py(), _number_kind(right)) for v in texts.column("b")]
         aligned = Aligned(a, b, left.sizes, right.sizes)
         keys, found = _joined(_numbers(told.column("keys"))), _joined(_numbers(told.column("found")))
         order = np.argsort(keys)
