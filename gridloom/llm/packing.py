@@ -17,9 +17,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,14 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import WordTable, as_bytes, map_texts
 from gridloom.session import materialise, ship
 
+if TYPE_CHECKING:  # its import costs a worker memory that only the placing ones need
+    import pandas
+
+
+#: ASCII signs but for the apostrophe and `<`.
+_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
 @lru_cache(maxsize=2)
 def word_tokens(path: str, table_words: int) -> WordTable:
     """Ids of words as little-endian 32-bit bytes, for at most twice `table_words` words at hand."""
@@ -34,11 +42,34 @@ def word_tokens(path: str, table_words: int) -> WordTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    ends = np.asarray([t.endswith("</w>") for t, _ in sorted(tokenizer.get_vocab().items(), key=lambda x: x[1])])
 
-    def encode(words: list[bytes]) -> Iterator[bytes]:
-        for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
+    def one_by_one(words: list[str]) -> Iterator[bytes]:
+        for e in tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield np.asarray(e.ids, "<u4").tobytes()
 
+    of_signs = lru_cache(maxsize=1 << 12)(lambda signs: b"".join(one_by_one([signs])) if signs else b"")
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        """Words of letters go in one call, joined by blanks and parted at the vocabulary's mark of a word's end; a call costs more than a word.
+
+        Signs after the letters are a part of their own to the tokenizer; an
+        apostrophe may begin an ending and `<` a special token, so these are
+        not taken off.
+        """
+        texts = [w.decode() for w in words]
+        heads = [t.rstrip(_SIGNS) for t in texts]
+        letters, known = list({h for h in heads if h.isalpha()}), {}
+        if letters:
+            (e,) = tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4")
+            until = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(until) == len(letters):  # unless lower-casing made something else than letters
+                known = {t: ids[i:j].tobytes() for t, i, j in zip(letters, [0, *until], until)}
+        rest = [t for t, h in zip(texts, heads) if h not in known]
+        whole = dict(zip(rest, one_by_one(rest)))
+        return [whole[t] if t in whole else known[h] + of_signs(t[len(h):]) for t, h in zip(texts, heads)]
+
     return WordTable(encode, table_words)
 
 
@@ -92,7 +123,7 @@ def place(cut: DataFrame, capacity: int = 2048, group_rows: int = 50_000, by: Se
     ship(cut.sparkSession)
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64(*(by or cut.columns)), F.lit(groups)))
 
-    def pack(held: pd.DataFrame) -> pd.DataFrame:
+    def pack(held: pandas.DataFrame) -> pandas.DataFrame:
         held = held.sort_values("length", ascending=False, kind="stable")
         found = np.array(list(sum_of_squares(held["length"].to_numpy(), capacity)), np.int64).reshape(-1, 2)
         held["sequence_id"] = (held["_group"].to_numpy() << 32) + found[:, 0]
