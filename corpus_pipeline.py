@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import line_dedup, packing, quality, queries, simhash
-from gridloom.llm.common import read
+from gridloom.llm.common import read, small_batches
 from gridloom.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
