@@ -44,6 +44,15 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return latest_per_key(both, keys, F.col("_order")).drop("_order").select(*[col(c) for c in existing.columns])
 
 
+def upsert_versions(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """Rows of both, the greatest `order` of a key winning wherever it comes from; among equals the incoming row.
+
+    The columns of `order` are stored with the table, so a late older version loses.
+    """
+    both = existing.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)))
+    return latest_per_key(both, keys, F.struct(order, F.col("_batch"))).drop("_batch").select(*[col(c) for c in existing.columns])
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
@@ -61,8 +70,11 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
 
 
 def write_upsert(incoming: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str],
-                 order: Column | None = None) -> None:
-    """Merge a batch into a partitioned table, touching only the partitions of the batch."""
+                 order: Column | None = None, versioned: bool = False) -> None:
+    """Merge a batch into a partitioned table, touching only the partitions of the batch.
+
+    With `versioned`, `order` is compared with that of the stored rows too.
+    """
     spark = incoming.sparkSession
     if _exists(spark, path):
         touched = incoming.select(*partition_by).distinct()
@@ -70,7 +82,8 @@ def write_upsert(incoming: DataFrame, path: str, keys: Sequence[str], partition_
         existing = table.join(touched, list(partition_by), "left_semi").select(*incoming.columns)
     else:
         existing = incoming.limit(0)
-    merged = materialise(upsert_latest(existing, incoming, keys, order), "upsert")
+    merged = upsert_versions(existing, incoming, keys, order) if versioned else upsert_latest(existing, incoming, keys, order)
+    merged = materialise(merged, "upsert")
     overwrite_partitions(merged, path, partition_by)
 
 

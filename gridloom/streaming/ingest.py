@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 from gridloom.functions.calendar import period
 from gridloom.functions.timegrid import col
+from gridloom.operators.runs import sessions
+from gridloom.session import materialise
 from gridloom.sources.store import latest_per_key, write_upsert
 
 
@@ -54,6 +56,24 @@ def read_changelog(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     return latest_per_key(spark.read.parquet(path), keys, F.col("batch_id")).drop("batch_id")
 
 
+def compact_changelog(spark: SparkSession, path: str, keys: Sequence[str]) -> int:
+    """Keep the newest row of each key, under the newest batch; returns the batches removed.
+
+    The newest batch is rewritten first. Should the job end before the older ones are gone, readers still take the same rows.
+    """
+    newest = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]  # one number
+    if newest is None:
+        return 0
+    kept = materialise(read_changelog(spark, path, keys), "changelog")
+    _write_batch(path)(kept, newest)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    older = [d.getPath() for d in files.listStatus(root) if d.getPath().getName().startswith("batch_id=") and int(d.getPath().getName()[9:]) < newest]
+    for folder in older:
+        files.delete(folder, True)
+    return len(older)
+
+
 EVENT_TIME = "_event_time"
 
 
@@ -86,10 +106,15 @@ def day_completeness(stream: DataFrame, *, keys: Sequence[str], ts: str = "ts",
 
 
 def start_upsert(stream: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str], partition_by: Sequence[str],
-                 order: Column | None = None) -> StreamingQuery:
-    """Late corrections: each micro-batch is merged into the partitions it touches."""
+                 order: Column | None = None, versioned: bool = False) -> StreamingQuery:
+    """Late corrections: each micro-batch is merged into the partitions it touches; with `versioned` an older version that arrives last loses."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        write_upsert(batch, path, keys, partition_by, order)
+        write_upsert(batch, path, keys, partition_by, order, versioned)
 
     return (stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .foreachBatch(merge).trigger(availableNow=True).start())
+
+
+def arrival_sessions(stream: DataFrame, *, keys: Sequence[str], ts: str = "fetch_time", gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """Sessions of a stream, each given out when the watermark has passed its end."""
+    return sessions(_timed(stream, ts, late), keys=keys, gap=gap, event_time=EVENT_TIME)
