@@ -1,7 +1,8 @@
 """Model fitting and serving. Fits are checked for rows; what SQL can express is checked in `q_features`.
 
-All of them read the year grid derived from the events, with all trees, folds
-and rows.
+All of them read the year grid derived from the events, with all folds and rows.
+A boosted round is a few Spark jobs, so the queries fit `TREES` trees a model;
+`training.Settings()` has those of the original (100 to 500).
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from gridloom.sources import store
 
 #: Last day of the rolling window, so that the wet-season models are scored on recent rows.
 AS_OF = date(2024, 6, 30)
+#: Trees of each boosted model and of each forest in these queries.
+TREES = (8, 20)
+SETTINGS = training.Settings(threads=8).with_trees(*TREES)
 _DONE: dict[tuple, dict] = {}
 
 
@@ -52,13 +56,13 @@ def labelled(spark, sf):
 
 
 def stage1(spark, sf):
-    return _once(spark, sf, "stage1", lambda: training.train_stage1(labelled(spark, sf)))
+    return _once(spark, sf, "stage1", lambda: training.train_stage1(labelled(spark, sf), settings=SETTINGS))
 
 
 def stage2(spark, sf):
     def make():
         _, oof = stage1(spark, sf)
-        return training.train_stage2(labelled(spark, sf).join(oof, ["series_id", "ts"]))
+        return training.train_stage2(labelled(spark, sf).join(oof, ["series_id", "ts"]), settings=SETTINGS)
     return _once(spark, sf, "stage2", make)
 
 
@@ -87,13 +91,13 @@ def stage2_train(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    models, _ = stage1(spark, sf)
-    return training.feature_importance([m for (target, _), m in models.items() if target == "solar"])
+    models, _ = training.train_stage1(labelled(spark, sf), settings=SETTINGS, targets=["solar"], folds=False)
+    return training.feature_importance(list(models.values()))
 
 
 @query("two_stage_predict")
 def two_stage_predict(spark, sf):
-    """Served prices of every row with a season that has models, guard included."""
+    """Served prices of every row, guard included; 0 outside the seasons."""
     m1, _ = stage1(spark, sf)
     m2, scored = stage2(spark, sf)
     policy = training.guard_decision(training.rolling_scores(scored))

@@ -91,14 +91,14 @@ def backfill(feats: DataFrame, stage1: dict, stage2: dict, *, path: str, version
 
 
 def retrain(grid: DataFrame, obs: DataFrame, *, windows: Sequence[dims.SplitWindow], lag_steps: int = 0,
-            effort: training.Effort = training.Effort()) -> dict:
+            settings: training.Settings = training.Settings()) -> dict:
     """Features, splits, both stages, scores and the guard policy for one grid lag."""
     frame, weather = training_frame(grid, obs)
     feats = materialise(features.build_features(frame, weather, lag_steps=lag_steps), "features").drop("season")
     rows = materialise(splits.split_assign(feats, label="y_price_resid", windows=windows), "split")
-    models1, oof = training.train_stage1(rows, effort=effort)
+    models1, oof = training.train_stage1(rows, settings=settings)
     lags = (f"price_lag{lag_steps}", "price_lag672") if lag_steps else ("price_lag96", "price_lag672")
-    models2, scored = training.train_stage2(rows.join(oof, SERIES + ["ts"]), effort=effort, anchor_lags=lags)
+    models2, scored = training.train_stage2(rows.join(oof, SERIES + ["ts"]), settings=settings, anchor_lags=lags)
     scored = materialise(scored, "scored")
     scores = training.rolling_scores(scored)
     return {"stage1": models1, "stage2": models2, "scored": scored, "oof": oof, "policy": training.guard_decision(scores),

@@ -8,9 +8,10 @@ tables lives on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -67,19 +68,31 @@ MIN_SEGMENT_ROWS = 50
 
 
 @dataclass(frozen=True)
-class Effort:
-    """Upper limits on trees and folds, to fit small tables quickly; the default limits nothing."""
-
-    rounds: int | None = None
-    trees: int | None = None
-    folds: int | None = None
+class Settings:
+    """Trees and folds of all fits; rows of a fit are dealt into tasks of `rows_per_task`."""
+
+    stage1: Mapping = field(default_factory=lambda: STAGE1_BOOST)
+    stage2: Mapping = field(default_factory=lambda: STAGE2_BOOST)
+    forest: Mapping = field(default_factory=lambda: FOREST)
+    stage1_folds: int = STAGE1_FOLDS
+    stage2_folds: Mapping = field(default_factory=lambda: STAGE2_FOLDS)
     threads: int = 4
+    rows_per_task: int = 50_000
+
+    def with_trees(self, boosted: int, forest: int) -> Settings:
+        """The same with so many trees in each model; folds and rows stay."""
+        fewer = lambda held: {k: replace(b, rounds=boosted) for k, b in held.items()}
+        return replace(self, stage1=fewer(self.stage1), stage2=fewer(self.stage2), forest={**self.forest, "numTrees": forest})
 
-    def boost(self, b: Boost) -> Boost:
-        return replace(b, rounds=min(b.rounds, self.rounds)) if self.rounds else b
 
-    def fold_count(self, k: int) -> int:
-        return min(k, self.folds) if self.folds else k
+@contextmanager
+def _dealt(df: DataFrame, rows_per_task: int) -> Iterator[DataFrame]:
+    """The rows held in as few partitions as they need: a round of a small fit costs scheduling, not work."""
+    held = df.persist()
+    try:
+        yield held.coalesce(max(1, -(-held.count() // rows_per_task)))
+    finally:
+        held.unpersist()
 
 
 def _parallel(jobs: Sequence[Callable], threads: int) -> list:
@@ -111,8 +124,8 @@ def stage1_anchor(target: str) -> Column:
     return col(f"B_{target}[t]") if target in RESIDUAL_TARGETS else F.lit(0.0)
 
 
-def _stage1_estimator(target: str, season: str, features: Sequence[str], effort: Effort) -> Pipeline:
-    boost = effort.boost(STAGE1_BOOST.get((season, target), STAGE1_BOOST[season]))
+def _stage1_estimator(target: str, season: str, features: Sequence[str], settings: Settings) -> Pipeline:
+    boost = settings.stage1.get((season, target), settings.stage1[season])
     return Pipeline(stages=[_assembler(features), boost.estimator(labelCol="label", predictionCol="raw")])
 
 
@@ -126,9 +139,9 @@ def stage1_rows(df: DataFrame, target: str, season: str) -> DataFrame:
                        (col(f"y_{target}") - anchor).alias("label"))
 
 
-def train_stage1(df: DataFrame, *, effort: Effort = Effort(), targets: Sequence[str] = tuple(TARGETS),
-                 seasons: Sequence[str] = tuple(SEASONS)) -> tuple[dict[tuple[str, str], PipelineModel], DataFrame]:
-    """Fit every target and season; returns the models and the out-of-fold table.
+def train_stage1(df: DataFrame, *, settings: Settings = Settings(), targets: Sequence[str] = tuple(TARGETS),
+                 seasons: Sequence[str] = tuple(SEASONS), folds: bool = True) -> tuple[dict[tuple[str, str], PipelineModel], DataFrame | None]:
+    """Fit every target and season; returns the models and the out-of-fold table (without `folds`, the final models alone).
 
     The table has (series_id, ts) and `oof_*`. Train and validation rows carry the
     prediction of the fold that did not see them (null in the first block, which no
@@ -139,24 +152,24 @@ def train_stage1(df: DataFrame, *, effort: Effort = Effort(), targets: Sequence[
     parts: dict[str, list[DataFrame]] = {t: [] for t in targets}
 
     def one(target: str, season: str):
-        rows = stage1_rows(df, target, season).persist()
+        rows = stage1_rows(df, target, season)
         features = [f for f in STAGE1_FEATURES[target] if f in df.columns]
-        seen = time_folds(rows.where(F.col("split").isin("train", "val")), effort.fold_count(STAGE1_FOLDS)).persist()
-        if seen.isEmpty():
-            rows.unpersist(), seen.unpersist()
-            return (target, season), None, []
-        estimator = _stage1_estimator(target, season, features, effort)
-        final = estimator.fit(seen)
-        outs = []
-        for k in range(effort.fold_count(STAGE1_FOLDS)):
-            model = estimator.fit(seen.where(F.col("fold") < k))
-            outs.append(_stage1_apply(model, seen.where(F.col("fold") == k), target))
-        outs.append(_stage1_apply(final, rows.where(F.col("split").isin("test", "rolling")), target))
-        done = materialise(_union(outs), "oof")
-        rows.unpersist(), seen.unpersist()
-        return (target, season), final, [done]
-
-    for key, model, outs in _parallel([lambda t=t, s=s: one(t, s) for t in targets for s in seasons], effort.threads):
+        labelled = time_folds(rows.where(F.col("split").isin("train", "val")), settings.stage1_folds)
+        with _dealt(labelled, settings.rows_per_task) as seen:
+            if seen.isEmpty():
+                return (target, season), None, []
+            estimator = _stage1_estimator(target, season, features, settings)
+            final = estimator.fit(seen)
+            if not folds:
+                return (target, season), final, []
+            outs = []
+            for k in range(settings.stage1_folds):
+                model = estimator.fit(seen.where(F.col("fold") < k))
+                outs.append(_stage1_apply(model, seen.where(F.col("fold") == k), target))
+            outs.append(_stage1_apply(final, rows.where(F.col("split").isin("test", "rolling")), target))
+            return (target, season), final, [materialise(_union(outs), "oof")]
+
+    for key, model, outs in _parallel([lambda t=t, s=s: one(t, s) for t in targets for s in seasons], settings.threads):
         if model is not None:
             models[key] = model
             parts[key[0]].extend(outs)
@@ -200,17 +213,16 @@ def stage2_inputs(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return interactions(df), names
 
 
-def _stage2_estimator(season: str, segment: str, features: Sequence[str], effort: Effort, stop_early: bool) -> Pipeline:
+def _stage2_estimator(season: str, segment: str, features: Sequence[str], settings: Settings, stop_early: bool) -> Pipeline:
     if season == "dry":
-        trees = {**FOREST, "numTrees": min(FOREST["numTrees"], effort.trees or FOREST["numTrees"])}
-        tree = RandomForestRegressor(labelCol="label", predictionCol="raw", seed=SEED, **trees)
+        tree = RandomForestRegressor(labelCol="label", predictionCol="raw", seed=SEED, **settings.forest)
     else:
         extra = {"validationIndicatorCol": "is_late", "validationTol": 0.0} if stop_early else {}
-        tree = effort.boost(STAGE2_BOOST[segment]).estimator(labelCol="label", predictionCol="raw", weightCol="weight", **extra)
+        tree = settings.stage2[segment].estimator(labelCol="label", predictionCol="raw", weightCol="weight", **extra)
     return Pipeline(stages=[_assembler(features), tree])
 
 
-def train_stage2(df: DataFrame, *, effort: Effort = Effort(), seasons: Sequence[str] = tuple(SEASONS), anchor_lags: Sequence[str] = (
+def train_stage2(df: DataFrame, *, settings: Settings = Settings(), seasons: Sequence[str] = tuple(SEASONS), anchor_lags: Sequence[str] = (
         "price_lag96", "price_lag672")) -> tuple[dict[tuple[str, str], PipelineModel], DataFrame]:
     """Fit the segment models of every season on frames that carry `oof_*`, `season` and `split`.
 
@@ -227,27 +239,24 @@ def train_stage2(df: DataFrame, *, effort: Effort = Effort(), seasons: Sequence[
 
     def one(season: str, segment: str):
         rows = base.where(F.col("season") == season)
-        k = effort.fold_count(STAGE2_FOLDS[season])
+        k = settings.stage2_folds[season]
         fit_rows = rows.where(F.col("split").isin("train", "val") & calendar.segment_masks(F.col("period"))[f"{segment}_train"])
         fit_rows = time_folds(fit_rows, k)
         if season == "wet":
             fit_rows = metrics.robust_weights(fit_rows, "label")
-        fit_rows = fit_rows.persist()
-        if fit_rows.count() < MIN_SEGMENT_ROWS:
-            fit_rows.unpersist()
-            return (season, segment), None, None
-        final = _stage2_estimator(season, segment, names, effort, True).fit(fit_rows)
-        fold_est = _stage2_estimator(season, segment, names, effort, False)
-        outs = [fold_est.fit(fit_rows.where(F.col("fold") < i)).transform(fit_rows.where(F.col("fold") == i))
-                .select("series_id", "ts", F.col("raw").alias("_fold")) for i in range(k)]
-        scored = final.transform(rows).select("series_id", "ts", F.col("raw").alias("_final"))
-        merged = scored.join(_union(outs), ["series_id", "ts"], "left").select(
-            "series_id", "ts", F.coalesce("_fold", "_final").alias(f"pred_{segment}"))
-        done = materialise(merged, "segment")
-        fit_rows.unpersist()
-        return (season, segment), final, done
-
-    results = _parallel([lambda s=s, g=g: one(s, g) for s in seasons for g in SEGMENTS], effort.threads)
+        with _dealt(fit_rows, settings.rows_per_task) as seen:
+            if seen.count() < MIN_SEGMENT_ROWS:
+                return (season, segment), None, None
+            final = _stage2_estimator(season, segment, names, settings, True).fit(seen)
+            fold_est = _stage2_estimator(season, segment, names, settings, False)
+            outs = [fold_est.fit(seen.where(F.col("fold") < i)).transform(seen.where(F.col("fold") == i))
+                    .select("series_id", "ts", F.col("raw").alias("_fold")) for i in range(k)]
+            scored = final.transform(rows).select("series_id", "ts", F.col("raw").alias("_final"))
+            merged = scored.join(_union(outs), ["series_id", "ts"], "left").select(
+                "series_id", "ts", F.coalesce("_fold", "_final").alias(f"pred_{segment}"))
+            return (season, segment), final, materialise(merged, "segment")
+
+    results = _parallel([lambda s=s, g=g: one(s, g) for s in seasons for g in SEGMENTS], settings.threads)
     models = {key: m for key, m, _ in results if m is not None}
     scored = base.select(*meta)
     for g in SEGMENTS:

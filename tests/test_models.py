@@ -1,5 +1,6 @@
 """Splits, folds, metrics, guard and the two-stage chain on a small synthetic grid."""
 
+import dataclasses
 import math
 from datetime import date, datetime
 
@@ -180,8 +181,8 @@ def test_two_stage_chain(spark, tmp_path):
     obs = hourly_weather(spark, "2026-04-15", 30 * 24)
     windows = [dims.SplitWindow("dry", (date(2026, 4, 16), date(2026, 4, 26)), (date(2026, 4, 27), date(2026, 4, 28)), (date(2026, 4, 29), date(2026, 4, 30))),
                dims.SplitWindow("wet", (date(2026, 5, 1), date(2026, 5, 5)), (date(2026, 5, 6), date(2026, 5, 6)), (date(2026, 5, 7), date(2026, 5, 7)))]
-    effort = training.Effort(rounds=1, trees=1, folds=1, threads=8)
-    out = jobs.retrain(grid, obs, windows=windows, effort=effort)
+    settings = dataclasses.replace(training.Settings().with_trees(1, 1), stage1_folds=1, stage2_folds={"dry": 1, "wet": 1}, threads=8)
+    out = jobs.retrain(grid, obs, windows=windows, settings=settings)
     assert len(out["stage1"]) == 8 and len(out["stage2"]) == 6
     assert out["report"].where("segment = 'all' AND split = 'test'").count() == 2
     keys = list(out["stage2"])
@@ -198,18 +199,21 @@ def test_two_stage_chain(spark, tmp_path):
     assert by == {("v1", "2026-05-15"): 96, ("v1_lag192", "2026-05-16"): 96, ("v1_lag192", "2026-05-17"): 96}
 
 
-def test_model_queries_fit_all_trees_folds_and_rows(spark, monkeypatch):
+def test_model_queries_fit_all_folds_and_rows(spark, monkeypatch):
     from gridloom.bindings import q_models
 
     days = ["2024-01-10", "2024-06-20", "2024-06-29", "2024-09-30", "2024-12-31"]
     frame = spark.createDataFrame([(1, d, 1.0, "x") for d in days], "series_id int, ts string, y_price double, season string")
     frame = frame.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     monkeypatch.setattr(q_models, "year_features", lambda *_: frame)
-    efforts = []
+    used = []
     monkeypatch.setattr(q_models, "_DONE", {})
-    monkeypatch.setattr(training, "train_stage1", lambda df, effort=training.Effort(): efforts.append(effort) or ({}, df))
+    monkeypatch.setattr(training, "train_stage1", lambda df, settings: used.append(settings) or ({}, df))
     q_models.stage1(spark, "full")
-    assert efforts == [training.Effort()]
+    # all folds; the trees are those the module names, the other settings of a tree are the original ones
+    (settings,), full = used, training.Settings()
+    assert (settings.stage1_folds, settings.stage2_folds) == (full.stage1_folds, full.stage2_folds)
+    assert all(b == dataclasses.replace(full.stage1[k], rounds=q_models.TREES[0]) for k, b in settings.stage1.items()) and settings.forest["numTrees"] == q_models.TREES[1]
     rows = {str(r.ts.date()): r for r in q_models.labelled(spark, "full").collect()}
     assert sorted(rows) == days and rows["2024-06-29"].is_rolling and not rows["2024-06-20"].is_rolling and rows["2024-12-31"].split is None
 
