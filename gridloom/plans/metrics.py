@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.derived import mean_of_available
 from gridloom.functions.timegrid import col
-from gridloom.operators.quantiles import exact_quantiles
+from gridloom.operators.quantiles import exact_quantiles, join_few
 
 
 def mae(y: Column, p: Column) -> Column:
@@ -54,7 +54,7 @@ def robust_weights(df: DataFrame, target: str, *, by: Sequence[str] = (), out: s
     """1 / (1 + |y| / p80(|y|)), the 80th percentile taken per group of any size."""
     sized = df.withColumn("_abs", F.abs(col(target)))
     cut = exact_quantiles(sized, "_abs", [0.8], by=by).select(*by, F.col("q0").alias("_p80"))
-    joined = sized.join(cut, list(by), "left") if by else sized.crossJoin(F.broadcast(cut))
+    joined = join_few(sized, cut, by, how="left")
     return joined.withColumn(out, 1.0 / (1.0 + F.col("_abs") / (F.col("_p80") + 1e-6))).drop("_abs", "_p80")
 
 
@@ -66,7 +66,7 @@ def residual_histogram(df: DataFrame, residual: str, *, bins: int = 60, by: Sequ
     r = col(residual)
     rows = df.where(r.isNotNull())
     ends = rows.groupBy(*by).agg(F.min(r).alias("_lo"), F.max(r).alias("_hi"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("sigma"))
-    joined = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
+    joined = join_few(rows, ends, by)
     width = (F.col("_hi") - F.col("_lo")) / bins
     index = F.when(width > 0, F.least(F.floor((r - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     return joined.groupBy(*by, "mean", "sigma", index.alias("bin")).agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.timegrid import step_index, step_time
 from gridloom.operators import chunked, daily, quantiles, regular, rolling, shift
 from gridloom.operators.rolling import Roll
+from gridloom.plans import metrics
 
 S = ["series_id"]
 
@@ -181,6 +183,40 @@ def test_exact_quantiles_match_numpy(spark, accuracy):
     np.testing.assert_allclose(whole.q0, np.quantile([v for vs in groups.values() for v in vs], 0.3), rtol=1e-12)
 
 
+@pytest.mark.parametrize("sort_rows", [2, 40])
+def test_large_brackets_are_split_until_they_are_small(spark, sort_rows):
+    rnd = random.Random(5)
+    groups = {"hot": [rnd.gauss(0, 1) ** 9 for _ in range(6000)], "ties": [float(i % 7) for i in range(700)], None: [4.0, 6.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    rows = {r.g: r for r in quantiles.exact_quantiles(df, "v", probs, by=["g"], accuracy=20, sort_rows=sort_rows).collect()}
+    for g, vs in groups.items():
+        assert rows[g].n == len(vs)
+        np.testing.assert_allclose([rows[g][f"q{i}"] for i in range(len(probs))], np.quantile(vs, probs), rtol=1e-12)
+    assert quantiles.exact_quantiles(df.where("false"), "v", probs, by=["g"], sort_rows=sort_rows).count() == 0
+
+
+def _exchange_keys(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+
+
+def test_values_of_a_hot_group_are_not_brought_together(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).selectExpr("cast(id % 3 as string) as g", "cast(id as double) as v")
+        few = spark.createDataFrame([("0", 1.0), ("1", 2.0), (None, 3.0)], "g string, x double")
+        joined = quantiles.join_few(df, few, ["g"], how="left")
+        assert _exchange_keys(joined) and all("_share" in keys for keys in _exchange_keys(joined))
+        assert joined.count() == 2000 and joined.where("x is null").count() == joined.where("g = '2'").count()
+        weighted = metrics.robust_weights(df, "v", by=["g"])
+        # on the group key alone: the partial sketches and the result with one row per group
+        joins = [k for k in _exchange_keys(weighted) if "_share" in k]
+        assert len(joins) >= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quantile_flag_needs_more_than_100_rows(series):
     jan = [float(i) for i in range(120)]
     df = series({1: jan}, start=datetime(2024, 1, 31))  # 96 rows in January, 24 in February
