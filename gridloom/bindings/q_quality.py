@@ -97,11 +97,11 @@ def quality_log(spark, sf):
 
 
 _V = [t.VERSION, t.GAP_VERSION]
-_PREF = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY series_id, target_time ORDER BY CASE WHEN model_version = 'v' THEN 0 ELSE 1 END) AS rn FROM predictions) WHERE rn = 1"
+PREFERRED = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY series_id, target_time ORDER BY CASE WHEN model_version = 'v' THEN 0 ELSE 1 END) AS rn FROM predictions) WHERE rn = 1"
 _FULL = "SELECT series_id, CAST(target_time AS DATE) AS day, count(DISTINCT target_time) AS n_times FROM predictions GROUP BY 1, 2 HAVING count(DISTINCT target_time) >= 96"
 
 
-@query("prefer_version", ora(_PREF, "predictions"))
+@query("prefer_version", ora(PREFERRED, "predictions"))
 def prefer_version(spark, sf):
     return serving.prefer_version(t.predictions(spark, sf), _V, keys=["series_id", "target_time"])
 
@@ -117,11 +117,11 @@ def latest_complete_day(spark, sf):
 
 
 _SEGQ = "CASE WHEN p <= 35 OR p >= 88 THEN 'base' WHEN p <= 67 THEN 'valley' ELSE 'peak' END"
-_CURVE = (f"SELECT series_id, CAST(target_time AS DATE) AS day, p AS period, strftime(target_time, '%H:%M') AS time, round_even(predicted_price, 1) AS price, {_SEGQ} AS segment, model_version "
+CURVE = (f"SELECT series_id, CAST(target_time AS DATE) AS day, p AS period, strftime(target_time, '%H:%M') AS time, round_even(predicted_price, 1) AS price, {_SEGQ} AS segment, model_version "
           f"FROM (SELECT *, {period_of('target_time')} AS p FROM pref)")
 
 
-@query("day_curve", ora("SELECT c.* FROM curve c JOIN full_days f ON f.series_id = c.series_id AND f.day = c.day", "predictions", pref=_PREF, full_days=_FULL, curve=_CURVE))
+@query("day_curve", ora("SELECT c.* FROM curve c JOIN full_days f ON f.series_id = c.series_id AND f.day = c.day", "predictions", pref=PREFERRED, full_days=_FULL, curve=CURVE))
 def day_curve(spark, sf):
     """The curves of all complete days; a serving call passes the one latest day instead."""
     pred = t.predictions(spark, sf)
@@ -142,7 +142,7 @@ def day_summary(spark, sf):
 @query("history_compare", ora(
     f"SELECT s.series_id, CAST(s.ts AS DATE) AS day, {period_of('s.ts')} AS period, round_even(a.price, 1) AS actual, round_even(p.predicted_price, 1) AS predicted FROM "
     "(SELECT series_id, unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-02-03 23:45:00', INTERVAL 15 MINUTE)) AS ts FROM (SELECT DISTINCT series_id FROM raw_grid)) s "
-    "LEFT JOIN raw_grid a ON a.series_id = s.series_id AND a.ts = s.ts LEFT JOIN pref p ON p.series_id = s.series_id AND p.target_time = s.ts", "raw_grid", "predictions", pref=_PREF))
+    "LEFT JOIN raw_grid a ON a.series_id = s.series_id AND a.ts = s.ts LEFT JOIN pref p ON p.series_id = s.series_id AND p.target_time = s.ts", "raw_grid", "predictions", pref=PREFERRED))
 def history_compare(spark, sf):
     return serving.history_compare(t.raw_grid(spark, sf), t.predictions(spark, sf), F.lit("2024-01-05").cast("date"), F.lit("2024-02-03").cast("date"), _V, keys=S)
 
@@ -150,7 +150,7 @@ def history_compare(spark, sf):
 @query("history_arrays", ora(
     f"SELECT series_id, day, string_agg(coalesce(CAST(actual AS VARCHAR), 'null'), ',' ORDER BY period) AS actual, string_agg(coalesce(CAST(predicted AS VARCHAR), 'null'), ',' ORDER BY period) AS predicted FROM (SELECT s.series_id, CAST(s.ts AS DATE) AS day, {period_of('s.ts')} AS period, round_even(a.price, 1) AS actual, round_even(p.predicted_price, 1) AS predicted FROM "
     "(SELECT series_id, unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-02-03 23:45:00', INTERVAL 15 MINUTE)) AS ts FROM (SELECT DISTINCT series_id FROM raw_grid)) s "
-    "LEFT JOIN raw_grid a ON a.series_id = s.series_id AND a.ts = s.ts LEFT JOIN pref p ON p.series_id = s.series_id AND p.target_time = s.ts) GROUP BY 1, 2", "raw_grid", "predictions", pref=_PREF))
+    "LEFT JOIN raw_grid a ON a.series_id = s.series_id AND a.ts = s.ts LEFT JOIN pref p ON p.series_id = s.series_id AND p.target_time = s.ts) GROUP BY 1, 2", "raw_grid", "predictions", pref=PREFERRED))
 def history_arrays(spark, sf):
     out = serving.history_arrays(history_compare(spark, sf), keys=S)
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",", "null") for c in ("actual", "predicted")})

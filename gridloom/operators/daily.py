@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import period
 from gridloom.functions.timegrid import QUARTER, col, step_index, step_period, steps_per_day
+from gridloom.operators.quantiles import join_few
 
 Wrap = Callable[[Column], Column]
 SLOTS = 96
@@ -125,5 +126,5 @@ def last_day(df: DataFrame, *, series: Sequence[str], ts: str = "ts", minutes: i
     """Rows within 24 hours of the last row of each series."""
     step = step_index(col(ts), minutes)
     ends = df.groupBy(*[col(s) for s in series]).agg(F.max(step).alias("_end"))
-    joined = df.join(ends, list(series)) if series else df.crossJoin(F.broadcast(ends))
+    joined = join_few(df, ends, series, spread=[ts])
     return joined.where(step > F.col("_end") - steps_per_day(minutes)).drop("_end")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.timegrid import QUARTER, col, steps_per_day
 from gridloom.session import materialise
-from gridloom.sources.store import _exists, append_log, latest_per_key, overwrite_partitions
+from gridloom.sources.store import exists, append_log, latest_per_key, overwrite_partitions
 
 MONTH, DAY = "month", "day"
 
@@ -60,7 +60,7 @@ def pending_days(spark: SparkSession, grid_path: str, ledger_path: str, *, serie
     Days up to `recheck_days` before the ledger's last are looked at again for
     corrections; earlier months are not scanned.
     """
-    known = _exists(spark, ledger_path)
+    known = exists(spark, ledger_path)
     first = None
     if known:
         last = spark.read.parquet(ledger_path).agg(F.max(DAY)).first()[0]  # one value
@@ -96,7 +96,7 @@ def refresh(spark: SparkSession, grid_path: str, feature_path: str, ledger_path:
     around = _grid(spark, grid_path, ts, first - timedelta(days=back_days), last + timedelta(days=ahead_days))
     built = build(_matched(around, needed, days, "left_semi").drop(DAY, MONTH))
     fresh = _matched(built.withColumn(DAY, F.to_date(col(ts))), changed, days, "left_semi")
-    if _exists(spark, feature_path):
+    if exists(spark, feature_path):
         fresh = materialise(fresh, "features")
         table = spark.read.parquet(feature_path).where(F.col(DAY).between(F.lit(first), F.lit(last)))
         touched = table.join(fresh.select(DAY).distinct(), DAY, "left_semi")

@@ -8,6 +8,7 @@ of the same batch gives the same table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -53,7 +54,7 @@ def upsert_versions(existing: DataFrame, incoming: DataFrame, keys: Sequence[str
     return latest_per_key(both, keys, F.struct(order, F.col("_batch"))).drop("_batch").select(*[col(c) for c in existing.columns])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
         return True
@@ -76,7 +77,7 @@ def write_upsert(incoming: DataFrame, path: str, keys: Sequence[str], partition_
     With `versioned`, `order` is compared with that of the stored rows too.
     """
     spark = incoming.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         touched = incoming.select(*partition_by).distinct()
         table = spark.read.parquet(path)
         existing = table.join(touched, list(partition_by), "left_semi").select(*incoming.columns)
@@ -94,7 +95,7 @@ def replace_predictions(df: DataFrame, path: str, series: Sequence[str] = ("seri
     """Replace the predictions of the (date, version, series) that the new ones name; other series of such a date stay."""
     dated = df.withColumn("target_date", F.to_date("target_time"))
     names = [c for c in series if c in df.columns]
-    if names and _exists(df.sparkSession, path):
+    if names and exists(df.sparkSession, path):
         table, named = df.sparkSession.read.parquet(path), [*PREDICTION_PARTITION, *names]
         new = dated.select(*[col(c).alias(f"_new_{c}") for c in named]).distinct()
         same = [col(c).eqNullSafe(F.col(f"_new_{c}")) for c in named]
@@ -122,6 +123,39 @@ def prune_superseded(pred: DataFrame, *, version: str, gap_version: str, keys: S
     return joined.where(~F.coalesce(superseded, F.lit(False))).drop("_last")
 
 
+def drop_partitions(spark: SparkSession, path: str, partitions: Sequence[dict[str, str]]) -> None:
+    """Remove whole partitions of a table, each given by its column values; one that is not there is left out.
+
+    Overwriting by partition cannot empty one.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for values in partitions:
+        folder = jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in values.items())]))
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def drop_superseded(spark: SparkSession, path: str, *, version: str, gap_version: str, series: Sequence[str] = ("series_id",)) -> None:
+    """Remove stored gap-fill rows up to the last date the normal version covers, for each series.
+
+    Only the gap version's partitions up to the newest such date are read and written. Those that keep rows of
+    other series are overwritten, emptied ones removed; their number is that of dates.
+    """
+    if not exists(spark, path):
+        return
+    table, day = spark.read.parquet(path), F.col("target_date")
+    normal = table.where(F.col("model_version") == version)
+    newest = normal.agg(F.max(day)).first()[0]  # one date
+    if newest is None:
+        return
+    last = normal.groupBy(*[col(c).alias(f"_key_{i}") for i, c in enumerate(series)]).agg(F.max(day).alias("_last"))
+    same = [col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(series)]
+    gap = table.where((F.col("model_version") == gap_version) & (day <= F.lit(newest)))
+    kept = materialise(gap.join(last, [*same, day <= F.col("_last")], "left_anti"), "kept")
+    emptied = gap.select(day).distinct().join(kept.select(day).distinct(), "target_date", "left_anti").collect()  # dates
+    overwrite_partitions(kept, path, PREDICTION_PARTITION)
+    drop_partitions(spark, path, [{"target_date": str(r[0]), "model_version": gap_version} for r in emptied])
+
+
 def gap_fill_days(pred: DataFrame, *, version: str, gap_version: str, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Gap-fill rows of dates after normal coverage, for each series named by `keys`."""
     joined = _with_last(pred.where(col("model_version") == gap_version), pred, version, keys)
@@ -145,6 +179,30 @@ def write_features(df: DataFrame, path: str) -> None:
      .partitionBy("season").parquet(path))
 
 
+def read_predictions(spark: SparkSession, path: str, versions: Sequence[str] | None = None, *, first: date | None = None,
+                     last: date | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Stored predictions; the partitions of other versions and dates are not listed or read.
+
+    `first` and `last` bound the dates, both included. `days` (a column `day`)
+    selects dates by a join on the partition column, which Spark prunes at run time;
+    it is reduced to its distinct dates, which a calendar bounds, before it is broadcast.
+    """
+    table, target = spark.read.parquet(path), F.col("target_date")
+    if days is not None:
+        dates = materialise(days.select("day").where("day is not null").distinct(), "dates")
+        lo, hi = dates.agg(F.min("day"), F.max("day")).first()  # two dates
+        if lo is None:
+            return table.where("false")
+        first, last = max(lo, first or lo), min(hi, last or hi)
+        chosen = dates.where(F.col("day").between(F.lit(first), F.lit(last)))
+        table = table.join(F.broadcast(chosen), target == F.col("day"), "left_semi")
+    if versions is not None:
+        table = table.where(F.col("model_version").isin(list(versions)))
+    if first is not None:
+        table = table.where(target >= F.lit(first))
+    return table.where(target <= F.lit(last)) if last is not None else table
+
+
 def read_features(spark: SparkSession, path: str, season: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.where(F.col("season") == season) if season else df

@@ -197,6 +197,12 @@ def test_two_stage_chain(spark, tmp_path):
                                   gap_models=(out["stage1"], loaded), path=str(tmp_path / "p"), version="v1", policy=out["policy"])
     by = {(r.model_version, str(r.target_date)): r["count"] for r in stored.groupBy("model_version", "target_date").count().collect()}
     assert by == {("v1", "2026-05-15"): 96, ("v1_lag192", "2026-05-16"): 96, ("v1_lag192", "2026-05-17"): 96}
+    jobs.backfill(feats, jobs.by_models(out["stage1"], loaded, policy=out["policy"]), path=str(tmp_path / "h"), ledger_path=str(tmp_path / "l"),
+                  run="r", version="v1", step_days=20)
+    history = spark.read.parquet(str(tmp_path / "h"))
+    assert history.count() == 30 * 96 == history.select("target_time").distinct().count()
+    served = pred.select("target_time", F.col("predicted_price").alias("price"))
+    assert history.join(served, "target_time").where("abs(predicted_price - price) < 1e-9").count() == 30 * 96
 
 
 def test_model_queries_fit_all_folds_and_rows(spark, monkeypatch):
