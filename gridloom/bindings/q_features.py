@@ -20,6 +20,8 @@ from gridloom.sources import store
 
 S = t.SERIES
 FESTIVAL = date(2024, 1, 12)
+#: Last day of the rolling window, so that the wet-season models are scored on recent rows.
+AS_OF = date(2024, 6, 30)
 WINDOWS = dims.split_windows(2024)
 
 
@@ -81,7 +83,7 @@ def _d(x):
 
 
 def _split_sql() -> str:
-    newest = "(SELECT max(CAST(ts AS DATE)) FROM split_in WHERE y_price IS NOT NULL)"
+    newest = f"(SELECT max(CAST(ts AS DATE)) FROM split_in WHERE y_price IS NOT NULL AND CAST(ts AS DATE) <= {_d(AS_OF)})"
     season = "CASE WHEN month(ts) BETWEEN 1 AND 4 THEN 'dry' WHEN month(ts) BETWEEN 5 AND 6 THEN 'wet' END"
     arms = ""
     for w in WINDOWS:
@@ -89,27 +91,22 @@ def _split_sql() -> str:
         arms += (f" WHEN season = '{w.season}' THEN CASE WHEN {span(w.val)} THEN 'val' WHEN {span(w.test)} THEN 'test' WHEN day > newest - 7 THEN 'rolling' "
                  f"WHEN {span(w.train)} OR (day > {_d(w.test[1])} AND day <= newest - 7) THEN 'train' END")
     return (f"SELECT *, CASE WHEN y_price IS NOT NULL THEN CASE {arms} END END AS split, y_price IS NOT NULL AND season IS NOT NULL AND day > newest - 7 AS is_rolling "
-            f"FROM (SELECT *, CAST(ts AS DATE) AS day, {season} AS season, {newest} AS newest FROM split_in WHERE month(ts) <= 6)")
+            f"FROM (SELECT *, CAST(ts AS DATE) AS day, {season} AS season, {newest} AS newest FROM split_in)")
 
 
 _SPLIT = _split_sql()
 
 
 def _split(spark, sf):
-    # data up to June, so that the last labelled days are served by the wet models
-    rows = t.split_inputs(spark, sf).where(F.month("ts") <= 6)
-    return splits.split_assign(rows, label="y_price", windows=WINDOWS)
+    return splits.split_assign(t.split_inputs(spark, sf), label="y_price", windows=WINDOWS, as_of=AS_OF)
 
 
-_SPLIT6 = _SPLIT.replace("FROM split_in WHERE y_price IS NOT NULL", "FROM split_in WHERE y_price IS NOT NULL AND month(ts) <= 6")
-
-
-@query("split_assign", ora("SELECT series_id, ts, season, split, is_rolling FROM sp", "split_in", sp=_SPLIT6))
+@query("split_assign", ora("SELECT series_id, ts, season, split, is_rolling FROM sp", "split_in", sp=_SPLIT))
 def split_assign(spark, sf):
     return _split(spark, sf).select("series_id", "ts", "season", "split", "is_rolling")
 
 
-@query("split_intersect", ora("SELECT series_id, ts FROM sp WHERE split = 'train' INTERSECT SELECT series_id, ts FROM sp WHERE price_lag96 IS NOT NULL AND price_lag672 IS NOT NULL", "split_in", sp=_SPLIT6))
+@query("split_intersect", ora("SELECT series_id, ts FROM sp WHERE split = 'train' INTERSECT SELECT series_id, ts FROM sp WHERE price_lag96 IS NOT NULL AND price_lag672 IS NOT NULL", "split_in", sp=_SPLIT))
 def split_intersect(spark, sf):
     rows = _split(spark, sf)
     train = rows.where(F.col("split") == "train").select("series_id", "ts")

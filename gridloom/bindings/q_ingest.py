@@ -128,19 +128,28 @@ def replace_partitions(spark, sf):
     return spark.read.parquet(path).select(*_KEEP)
 
 
+# the normal version ends on 23 January here, for one series on the 20th, so later days come from the gap-fill version
+_ENDING = ("SELECT * FROM predictions WHERE model_version <> 'v' OR target_time < CASE WHEN series_id = 0 THEN TIMESTAMP '2024-01-21' ELSE TIMESTAMP '2024-01-24' END")
+_ENDS = "SELECT series_id, max(CAST(target_time AS DATE)) AS last FROM ending WHERE model_version = 'v' GROUP BY 1"
+
+
+def _ending(spark, sf):
+    stop = F.when(F.col("series_id") == 0, "2024-01-21").otherwise("2024-01-24").cast("timestamp_ntz")
+    return t.predictions(spark, sf).where((F.col("model_version") != t.VERSION) | (F.col("target_time") < stop))
+
+
 @query("prune_superseded", ora(
-    "SELECT * FROM predictions WHERE NOT (model_version = 'v_lag192' AND CAST(target_time AS DATE) <= (SELECT max(CAST(target_time AS DATE)) FROM predictions WHERE model_version = 'v'))", "predictions"))
+    "SELECT e.* FROM ending e JOIN ends l ON l.series_id = e.series_id WHERE NOT (model_version = 'v_lag192' AND CAST(target_time AS DATE) <= last)",
+    "predictions", ending=_ENDING, ends=_ENDS))
 def prune_superseded(spark, sf):
-    return store.prune_superseded(t.predictions(spark, sf), version=t.VERSION, gap_version=t.GAP_VERSION)
+    return store.prune_superseded(_ending(spark, sf), version=t.VERSION, gap_version=t.GAP_VERSION)
 
 
 @query("gap_fill_days", ora(
-    "SELECT * FROM predictions WHERE model_version = 'v_lag192' AND CAST(target_time AS DATE) > (SELECT max(CAST(target_time AS DATE)) FROM predictions WHERE model_version = 'v' AND target_time < TIMESTAMP '2024-01-24')", "predictions"))
+    "SELECT e.* FROM ending e JOIN ends l ON l.series_id = e.series_id WHERE model_version = 'v_lag192' AND CAST(target_time AS DATE) > last",
+    "predictions", ending=_ENDING, ends=_ENDS))
 def gap_fill_days(spark, sf):
-    """The normal version ends on 23 January here, so later days come from the gap-fill version."""
-    pred = t.predictions(spark, sf)
-    cut = pred.where((F.col("model_version") != t.VERSION) | (F.col("target_time") < F.lit("2024-01-24").cast("timestamp_ntz")))
-    return store.gap_fill_days(cut, version=t.VERSION, gap_version=t.GAP_VERSION)
+    return store.gap_fill_days(_ending(spark, sf), version=t.VERSION, gap_version=t.GAP_VERSION)
 
 
 @query("table_stats", ora("SELECT series_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, count(*) = 2880 AS as_expected FROM gap_grid GROUP BY 1", "gap_grid"))

@@ -7,21 +7,17 @@ A boosted round is a few Spark jobs, so the queries fit `TREES` trees a model;
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from gridloom import dims
 from gridloom.bindings import tables as t
-from gridloom.bindings.q_features import FESTIVAL, WINDOWS
+from gridloom.bindings.q_features import AS_OF, FESTIVAL, WINDOWS
 from gridloom.bindings.registry import query
 from gridloom.functions.calendar import segment_of
 from gridloom.plans import features, metrics, splits, training
 from gridloom.session import materialise
 from gridloom.sources import store
 
-#: Last day of the rolling window, so that the wet-season models are scored on recent rows.
-AS_OF = date(2024, 6, 30)
 #: Trees of each boosted model and of each forest in these queries.
 TREES = (8, 20)
 SETTINGS = training.Settings(threads=8).with_trees(*TREES)

@@ -92,8 +92,8 @@ def _stack(grid: DataFrame, series: Sequence[str], ts: str) -> DataFrame:
     overall = grid.groupBy(*series).agg(
         F.percentile("load", F.lit(0.7)).alias("cut_load"), F.percentile("solar", F.lit(0.3)).alias("cut_solar"),
         F.percentile("wind", F.lit(0.3)).alias("cut_wind"))
-    joined = grid.withColumn("_month", F.month(col(ts))).join(monthly, [*series, "_month"], "left").drop("_month")
-    return joined.join(overall, list(series), "left") if series else joined.crossJoin(F.broadcast(overall))
+    cuts = monthly.join(overall, list(series), "left") if series else monthly.crossJoin(F.broadcast(overall))  # a row per series and month
+    return quantiles.join_few(grid.withColumn("_month", F.month(col(ts))), cuts, [*series, "_month"], how="left", spread=[ts]).drop("_month")
 
 
 def _windows(rolls: Sequence[Roll]) -> list:
