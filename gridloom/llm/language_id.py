@@ -30,14 +30,26 @@ _BITS = 15
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&+=-_/\\~^`@0123456789"
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Words of more bytes are read in parts of `_PART` letters.
+_LONG, _PART = 128, 40
+
+
+def parts(word: bytes) -> list[bytes]:
+    """The word in lower case without signs at its ends; a long one, as of scripts without blanks, in parts that each count as a word."""
+    bare = word.decode("utf-8", "replace").lower().encode().strip(_EDGE)
+    if len(bare) <= _LONG:
+        return [bare]
+    text = bare.decode("utf-8", "replace")
+    return [text[i:i + _PART].encode() for i in range(0, len(text), _PART)]
+
+
+def grams(bare: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the sequences of one to four bytes of each word, its ends marked, and where each word starts and ends.
 
     Row k of the buckets holds the sequences of k + 1 bytes by the place they
     start at; where one would leave its word, or the word has no letters, it
     holds the bucket 2^15, which stands for nothing.
     """
-    bare = [w.decode("utf-8", "replace").lower().encode().strip(_EDGE)[:128] for w in words]
     marked = [b"^%s$" % w if w else b"-" for w in bare]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.cumsum(sizes)
@@ -60,7 +72,8 @@ class TextModel:
 
     def table(self) -> WordTable:
         def compute(words: list[bytes]) -> Iterator[bytes]:
-            buckets, starts, ends = grams(words)
+            split = [parts(w) for w in words]
+            buckets, starts, ends = grams([p for ps in split for p in ps])
             n_lang = self.logs.shape[1]
             sums, counts = np.zeros((buckets.shape[1] + 1, n_lang)), np.zeros(buckets.shape[1] + 1)
             for row in buckets:
@@ -69,21 +82,29 @@ class TextModel:
             sums, counts = np.cumsum(sums, 0), np.cumsum(counts)
             n = counts[ends] - counts[starts]
             mean = ((sums[ends] - sums[starts]) / np.maximum(n, 1)[:, None]).astype(np.float32)
-            for m, some in zip(mean, n):
-                yield m.tobytes() if some else b""
+            at = 0
+            for ps in split:  # one row of means for each part that has letters
+                some = slice(at, at + len(ps))
+                yield mean[some][n[some] > 0].tobytes()
+                at += len(ps)
         return WordTable(compute)
 
 
-def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, sample_rows: int = 12_000, most_languages: int = 64) -> TextModel:
+def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, sample_rows: int = 12_000, most_languages: int = 256) -> TextModel:
     """Letter sequences by language, from at most `sample_rows` texts with a known language, in the order of a hash of their ids.
 
-    The `most_languages` commonest languages of the sample are told apart.
+    All languages of the sample are told apart; more than `most_languages`, which
+    bounds the model's table, are an error. Of rows that share an id the one with the
+    greatest (language, text) counts; rows without id, language or text are left out.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = known.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    chosen = materialise(known.join(F.broadcast(ids), id_col).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "language-sample")
-    common = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in common)
+    pair = F.struct(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    one = known.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.max(pair).alias("_pair"))
+    chosen = materialise(one.select("_pair.*"), "language-sample")
+    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +112,7 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, sample_rows:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 if lang in place and (words := list(set(text.split()))):
-                    n[place[lang]] += np.bincount(grams(words)[0].ravel(), minlength=(1 << _BITS) + 1)[:-1]
+                    n[place[lang]] += np.bincount(grams([p for w in words for p in parts(w)])[0].ravel(), minlength=(1 << _BITS) + 1)[:-1]
         at = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(n[at])], ["lang", "bucket", "n"])
 

@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, table_words)
     cut = materialise(cut.select(id_col, "piece", "start", "length", "ids", F.crc32("ids").alias("_crc"), F.monotonically_increasing_id().alias("_row")), "pieces")
-    dealt_by = [id_col, "piece", "start", "length", "_crc"]
-    placed = materialise(place(cut.select(*dealt_by, "_row"), capacity, group_rows, dealt_by).select("_row", "sequence_id", "offset"), "places")
+    # dealt by their row too, so that equal documents do not share a group
+    placed = materialise(place(cut.select("_row", "length", "_crc"), capacity, group_rows).select("_row", "sequence_id", "offset"), "places")
     out = cut.select("_row", id_col, "piece", "start", "length", "ids").join(placed, "_row").drop("_row")
     return out.withColumn("ids_crc32", F.crc32("ids")) if digest else out

@@ -75,12 +75,13 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     return OrdinalModel(found.active, w, _ordered(raw))
 
 
-def quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", grade_col: str = "expected_grade", tail_prefix: str = "p_grade_") -> DataFrame:
-    """`docs` without the text, with the expected grade and `p_grade_1`, `p_grade_2`, ... for every row.
+def quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", grade_col: str = "expected_grade", tail_prefix: str = "p_grade_",
+            keep_text: bool = False) -> DataFrame:
+    """`docs` with the expected grade and `p_grade_1`, `p_grade_2`, ... for every row; without the text unless `keep_text`.
 
     Null and empty texts get the values of a text without terms. Other columns
-    are passed on; repeated rows come out alike; an empty table gives an empty
-    table.
+    are passed on, but for those called like a column that is added, which are
+    replaced; repeated rows come out alike; an empty table gives an empty table.
     """
     names = [grade_col, *(f"{tail_prefix}{j}" for j in range(1, len(model.theta) + 1))]
-    return t.score_texts(docs, text_col, model.active, t.shape_terms, t.share_terms, model.tails, names)
+    return t.score_texts(docs, text_col, model.active, t.shape_terms, t.share_terms, model.tails, names, keep_text)

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = toxicity.fit(docs.select("doc_id", "text"), labels.where(~held_out).select("doc_id", "toxic"))
     scored = toxicity.toxicity(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

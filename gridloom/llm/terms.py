@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordTable, as_bytes, map_batches, map_texts
+from gridloom.llm.common import WordTable, as_bytes, each_bytes, map_batches, map_texts
 from gridloom.session import materialise
 
 BITS = 18
@@ -41,14 +41,12 @@ _SHAPES = bytes.maketrans(bytes(range(256)), bytes(
     88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256)))
 
 
+_RUNS = re.compile(rb"([Xx0])\1+")
+
+
 def shape_terms(word: bytes) -> list[bytes]:
     """The word in lower case, and its shape: letters by case and digits as one sign for each run, other signs as they are."""
-    shape, last = bytearray(), 0
-    for c in word[:64].translate(_SHAPES):
-        if c != last or c not in b"Xx0":
-            shape.append(c)
-        last = c
-    return [b"w" + word.lower().strip(_EDGE), b"s" + bytes(shape)]
+    return [b"w" + word.lower().strip(_EDGE), b"s" + _RUNS.sub(rb"\1", word.translate(_SHAPES))]
 
 
 _STEPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
@@ -81,12 +79,13 @@ def sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rows
     """(text, rating) of at most `rows` rated documents, taken in the order of a hash of their ids.
 
     `ratings` is (id, rating); null ids and ratings are left out, and of several
-    ratings of a document the largest counts. The ids are broadcast: there are
-    at most `rows` of them.
+    ratings of a document the largest counts. Of rows that share an id the
+    greatest text counts. The ids are broadcast: there are at most `rows` of them.
     """
     rated = ratings.toDF("_id", "rating").where("_id is not null and rating is not null").groupBy("_id").agg(F.max("rating").alias("rating"))
     chosen = rated.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col("rating").cast("int").alias("rating"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return texts.groupBy("_id").agg(F.max("text").alias("text"), F.max("rating").cast("int").alias("rating")).drop("_id")
 
 
 @dataclass
@@ -147,7 +146,8 @@ def examples(chosen: DataFrame, terms: Terms, whole: Whole, most: int, least_chi
         found = [np.flatnonzero(np.isin(active, np.frombuffer(b, np.uint32))).astype(np.uint16).tobytes() for b in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rating", "terms"])
 
-    rows = map_texts(seen, "rating int, terms binary", narrow).collect()
+    # in an order of their own, so that a fit does not depend on how the rows arrived
+    rows = sorted(map_texts(seen, "rating int, terms binary", narrow).collect(), key=lambda r: (r[0], bytes(r[1])))
     return Examples(active, [np.frombuffer(r[1], np.uint16).astype(np.int64) for r in rows], np.array([r[0] for r in rows], np.int64))
 
 
@@ -158,10 +158,16 @@ def places(active: np.ndarray) -> Callable[[Iterable[bytes]], np.ndarray]:
 
 
 def score_texts(docs: DataFrame, text_col: str, active: np.ndarray, terms: Terms, whole: Whole, score: Callable[[np.ndarray], list[float]],
-                names: list[str]) -> DataFrame:
-    """`docs` without the text, with the double columns `names` computed by `score` from a text's distinct active terms."""
+                names: list[str], keep_text: bool = False) -> DataFrame:
+    """`docs` with the double columns `names` computed by `score` from a text's distinct active terms.
+
+    The text comes first with `keep_text`, handed back as it came, and is left out else.
+    A column of `docs` that is called like one of `names` is left out.
+    """
+    docs = docs.drop(*[n for n in names if n != text_col])
     rest = [c for c in docs.columns if c != text_col]
-    ordered = docs.select(text_col, *rest)
+    ordered, skip = docs.select(text_col, *rest), 0 if keep_text else 1
+    passed = ordered.columns[skip:]
     sent = docs.sparkSession.sparkContext.broadcast(active)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +175,13 @@ def score_texts(docs: DataFrame, text_col: str, active: np.ndarray, terms: Terms
         table = WordTable(lambda ws: (at(terms(w)).tobytes() for w in ws), 1 << 16)
         for batch in batches:
             found = []
-            for text in as_bytes(batch.column(0)):
+            for text in each_bytes(batch.column(0)):
                 words = text.split()
                 found.append(score(np.unique(np.append(np.frombuffer(table.lookup(set(words)), np.uint16), at(whole(words))))))
             new = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*rest, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], *new], [*passed, *names])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[1:]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[skip:]]
     return map_batches(ordered, run, ", ".join([*fields, *(f"`{n}` double" for n in names)]))
 
 

@@ -9,7 +9,7 @@ import pytest
 from by_hand import DATA, by_id
 
 import corpus_pipeline
-from gridloom.llm import packing, quality, queries, toxicity
+from gridloom.llm import language_id, packing, quality, queries, terms, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,48 @@ def test_classifiers_and_odd_rows(spark, docs, odd, rates):
         assert not any(np.isnan(r[-1]) for r in got.collect()) and apply(docs([]), model).count() == 0
 
 
+def test_long_words_are_read_whole():
+    assert terms.shape_terms(b"aB1" * 400_000 + b"!!")[1] == b"s" + b"xX0" * 400_000 + b"!!"
+    word = ("\u4eca\u65e5\u306f" * 3000).encode()
+    assert b"".join(language_id.parts(word)) == word and max(map(len, language_id.parts(word))) <= 160
+    assert language_id.parts(b"Word,") == [b"word"]
+
+
+def test_sample_takes_a_row_for_each_id(spark, docs):
+    table = docs([(1, f"copy {i}") for i in range(300)] + [(2, "two"), (3, None), (None, "none")])
+    rates = spark.createDataFrame([(1, 0), (1, 2), (2, 1), (3, 1), (None, 1)], "i long, y int")
+    got = terms.sample(table, rates, "doc_id", "text", 10).collect()
+    assert sorted((r.text or "", r.rating) for r in got) == [("", 1), ("copy 99", 2), ("two", 1)]
+
+
+def test_scores_keep_the_text_and_replace_clashing_columns(spark, odd):
+    labels = spark.createDataFrame([(4, 0), (5, 1)], "doc_id long, grade int")
+    model = quality.fit(odd, labels, 3)
+    clash = odd.selectExpr("*", "'old' as p_grade_1", "'old' as expected_grade")
+    got = quality.quality(clash, model, keep_text=True)
+    assert got.columns[0] == "text" and got.schema["p_grade_1"].dataType.simpleString() == "double"
+    assert sorted(str(r.text) for r in got.collect()) == sorted(str(r.text) for r in odd.collect())
+
+
+def test_many_languages(spark):
+    rows = [(100 * k + i, f"l{k:02}", " ".join(chr(0x4E00 + 40 * k + j) * 3 for j in range(i, i + 12))) for k in range(70) for i in range(4)]
+    table = spark.createDataFrame([*rows, *[(5, "l00", rows[5][2])] * 20, (None, "zz", "none")], "id long, lang string, text string")
+    model = language_id.fit(table, "lang", "text", "id")
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    with pytest.raises(ValueError):
+        language_id.fit(table, "lang", "text", "id", most_languages=69)
+
+
+def test_language_of_a_text_without_blanks(spark):
+    chinese = "".join(chr(0x4E00 + i * 7 % 900) for i in range(800))
+    greek = "".join(chr(0x3B1 + i * 5 % 24) for i in range(800))
+    table = spark.createDataFrame([(1, "zh", chinese), (2, "el", greek)], "id long, lang string, text string")
+    model = language_id.fit(table, "lang", "text", "id")
+    mixed = spark.createDataFrame([(1, greek[:45] + chinese), (2, chinese[:45] + greek)], "id long, text string")
+    found = {r.id: r.lt for r in language_id.text_evidence(mixed, model, "text").collect()}
+    assert model.languages == ["el", "zh"] and found[1][1] > found[1][0] and found[2][0] > found[2][1]
+
+
 def test_language_of_documents(spark, data):
     """Declared languages, and whatever the pages hold: every row once."""
     got = queries.RUNS["op5_language_id"](spark, DATA)
@@ -95,6 +137,16 @@ def test_packing_round_trip(data):
         assert all(len(held[r.doc_id][k]) == 2048 for k in sorted(held[r.doc_id])[:-1])
 
 
+def test_equal_documents_do_not_share_a_group(docs, monkeypatch):
+    sizes = []
+    placed = packing.place
+    monkeypatch.setattr(packing, "place", lambda cut, *a: sizes.append(placed(cut, *a)) or sizes[-1])
+    out = packing.pack(docs([(1, "the same text")] * 3000), TOKENS, group_rows=100)
+    assert out.select("sequence_id", "offset").distinct().count() == 3000
+    groups = sizes[0].selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()
+    assert len(groups) == 30 and max(r["count"] for r in groups) < 200
+
+
 def test_packing_odd_rows(odd, docs):
     rows = packing.pack(odd, TOKENS, capacity=64, digest=True).collect()
     check_sequences(rows, 64)
