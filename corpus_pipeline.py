@@ -18,9 +18,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay that reach at least grade 1 more likely than not; the model is fitted on the rated ones among them."""
+    """Documents stay that reach at least grade 1 more likely than not; the model is fitted on the rated ones among them.
+
+    A null or empty text has the grade of a text without terms; repeated rows are kept or dropped together.
+    """
     model = quality.fit(docs.select("doc_id", "text"), queries.grades(read(spark, sf_dir, "labels")), 3)
-    rated = quality.quality(docs.select(*COLUMNS).withColumn("_rated", F.col("text")), model, text_col="_rated")
+    rated = quality.quality(docs.select(*COLUMNS), model, keep_text=True)
     return rated.where("p_grade_1 >= 0.5").select(*COLUMNS)
 
 
@@ -31,7 +34,10 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (0.8 of all shingles of five words) stays, once."""
+    """The document with the smallest id of each group of near copies (0.8 of all shingles of five words) stays.
+
+    Rows that share this id all stay, as do rows without an id: nothing names one of them.
+    """
     found = simhash.similar_documents(docs, shingle=5, similarity=0.8)
     gone = materialise(found.where("doc_id > component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
