@@ -21,10 +21,11 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordTable, as_bytes, map_texts
+from gridloom.llm.common import WordTable, as_bytes, map_batches, map_texts
 from gridloom.session import materialise, ship
 
 if TYPE_CHECKING:  # its import costs a worker memory that only the placing ones need
@@ -73,17 +74,49 @@ def word_tokens(path: str, table_words: int) -> WordTable:
     return WordTable(encode, table_words)
 
 
+def squeezed(ids: bytes) -> bytes:
+    """Ids for the way through a table and a shuffle: 16 bits each where all fit, compressed."""
+    wide = np.frombuffer(ids, "<u4")
+    return zstandard.compress(ids if wide.max(initial=0) >> 16 else wide.astype("<u2").tobytes(), 1)
+
+
+def unsqueezed(data: bytes, length: int) -> bytes:
+    """The `length` ids that `squeezed` was given."""
+    raw = zstandard.decompress(data)
+    return raw if len(raw) == 4 * length else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+
+
+#: Rows of a batch of whole ids, 2 MB at 2048 ids each.
+_WHOLE_ROWS = 256
+
+
+def _unsqueeze(placed: DataFrame) -> DataFrame:
+    """`placed` with its `ids` as they were before `squeezed`."""
+    at, count = placed.columns.index("ids"), placed.columns.index("length")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, _WHOLE_ROWS):
+                part = batch.slice(k, _WHOLE_ROWS)
+                whole = [unsqueezed(*x) for x in zip(part.column(at).to_pylist(), part.column(count).to_pylist())]
+                columns = list(part.columns)
+                columns[at] = pa.array(whole, pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return map_batches(placed, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields))
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-           table_words: int = 1 << 18) -> DataFrame:
-    """(id, piece, start, length, ids) of every document; `ids` are little-endian unsigned 32-bit numbers."""
-    size, end = 4 * capacity, np.asarray([end_id], "<u4").tobytes()
+           table_words: int = 1 << 18, squeeze: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids) of every document; `ids` are little-endian unsigned 32-bit numbers, or `squeezed` ones."""
+    size, end, kept = 4 * capacity, np.asarray([end_id], "<u4").tobytes(), squeezed if squeeze else bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         tokens = word_tokens(tokenizer, table_words)
         for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
             ids = tokens.lookup(text.split()) + end
-            out += [(doc, k, at // 4, len(ids[at:at + size]) // 4, ids[at:at + size]) for k, at in enumerate(range(0, len(ids), size))]
+            out += [(doc, k, at // 4, len(ids[at:at + size]) // 4, kept(ids[at:at + size])) for k, at in enumerate(range(0, len(ids), size))]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "piece", "start", "length", "ids"])
 
@@ -139,15 +172,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Pieces of all documents with their place: (id, piece, start, length, ids, sequence_id, offset).
 
     `table_words` trades the memory of a worker for time; it changes no result.
-    The places are found from the lengths alone, then the ids are joined to
-    them; with `digest`, `ids_crc32` (CRC-32 of the placed ids' bytes) is added.
+    The places are found from the lengths alone, then the ids, compressed until
+    then, are joined to them; with `digest`, `ids_crc32` (CRC-32 of the placed ids' bytes) is added.
     Null text counts as empty: one piece that holds the end id. Repeated rows
     are documents of their own, a null id is passed on. Other columns are not
     looked at; an empty table gives an empty table.
     """
-    cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, table_words)
+    cut = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, table_words, squeeze=True)
     cut = materialise(cut.select(id_col, "piece", "start", "length", "ids", F.crc32("ids").alias("_crc"), F.monotonically_increasing_id().alias("_row")), "pieces")
     # dealt by their row too, so that equal documents do not share a group
     placed = materialise(place(cut.select("_row", "length", "_crc"), capacity, group_rows).select("_row", "sequence_id", "offset"), "places")
-    out = cut.select("_row", id_col, "piece", "start", "length", "ids").join(placed, "_row").drop("_row")
+    out = _unsqueeze(cut.select("_row", id_col, "piece", "start", "length", "ids").join(placed, "_row").drop("_row"))
     return out.withColumn("ids_crc32", F.crc32("ids")) if digest else out
