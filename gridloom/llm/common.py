@@ -28,6 +28,17 @@ def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """`names` with as many underscores before each as no column of `df` is called like it."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null counts as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import free_names
 from gridloom.session import materialise
 
 _EDGE = " \t\r"
@@ -29,6 +30,20 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, ratio: flo
     return counts.join(totals, "host").where(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
+def line_tables(found: DataFrame) -> DataFrame:
+    """(host, slots): the lines of each host dealt by hash to as many slots as it has lines, so that a line is looked up in one short slot."""
+    sized = found.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    dealt = found.join(sized, "host").select("host", _slot(F.col("line"), F.col("size")).alias("slot"), "line")
+    every = sized.select("host", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))).alias("slot"), F.lit(None).cast("string").alias("line"))
+    slots = dealt.unionByName(every).groupBy("host", "slot").agg(F.collect_set("line").alias("lines"))
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "lines")))
+    return slots.groupBy("host").agg(ordered.alias("slots")).select("host", F.col("slots.lines").alias("slots"))
+
+
+def _slot(line: Column, size: Column) -> Column:
+    return (F.pmod(F.xxhash64(line), size) + 1).cast("int")
+
+
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3,
                      n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """`pages` with the boilerplate lines of each host taken out of the text; all rows and columns stay.
@@ -37,15 +52,20 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     lines are never boilerplate. A row with a null host or null text is left as
     it is. A line that a page repeats counts once for the page and goes each
     time; a repeated row is a page of its own. `n_lines` and `n_dropped` name
-    optional count columns. An empty table gives an empty table.
+    optional count columns, which replace columns of that name; no other column
+    of `pages` is touched, whatever it is called. An empty table gives an empty
+    table.
     """
-    found = materialise(boilerplate_lines(pages, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("lines")), "boilerplate")
-    drop = found.select(F.col("host").alias("_host"), F.col("lines").alias("_drop"))
-    joined = pages.join(drop, F.col(host_col) == F.col("_host"), "left")
+    host, slots, left = free_names(pages, "_host", "_slots", "_left")
+    found = materialise(line_tables(boilerplate_lines(pages, host_col, text_col, ratio, min_pages)), "boilerplate")
+    drop = found.select(F.col("host").alias(host), F.col("slots").alias(slots))
+    joined = pages.join(drop, F.col(host_col) == F.col(host), "left")
     parts = F.split(text_col, "\n")
-    left = F.filter(parts, lambda x: ~F.array_contains("_drop", _line(x)))
-    hit = F.col("_drop").isNotNull() & F.col(text_col).isNotNull()
-    out = joined.withColumn("_left", F.when(hit, left)).withColumns(
+    known = lambda x: F.array_contains(F.element_at(slots, _slot(x, F.size(slots))), x)
+    kept = F.filter(parts, lambda x: ~known(_line(x)))
+    hit = F.col(slots).isNotNull() & F.col(text_col).isNotNull()
+    out = joined.withColumn(left, F.when(hit, kept))
+    out = out.withColumns(
         ({n_lines: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts))} if n_lines else {})
-        | ({n_dropped: F.when(hit, F.size(parts) - F.size("_left")).otherwise(0)} if n_dropped else {}))
-    return out.withColumn(text_col, F.when(hit, F.array_join("_left", "\n")).otherwise(F.col(text_col))).drop("_host", "_drop", "_left")
+        | ({n_dropped: F.when(hit, F.size(parts) - F.size(left)).otherwise(0)} if n_dropped else {}))
+    return out.withColumn(text_col, F.when(hit, F.array_join(left, "\n")).otherwise(F.col(text_col))).drop(host, slots, left)

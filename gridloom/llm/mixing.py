@@ -9,8 +9,10 @@ whole subtree is full. All shares are whole tokens, rounded down.
 A leaf with a budget of T tokens and A available gives T div A whole epochs and
 a prefix of one more: its documents in the order of md5("seed:epoch:id"), as
 long as the tokens before a document are fewer than the rest. The prefix is
-found by running totals over 4096 hash ranges of a leaf and windows within a
-range, so a leaf with a third of all rows is spread like any other.
+found by running totals over hash ranges: 4096 of a leaf, 4096 of each of these
+and so on until a range of the largest leaf has few rows. Rows of one place in
+the order (the same or no id, the same tokens) are counted together, so neither
+a leaf nor an id with a third of all rows ends in one window.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, levels: list[str], id_col: str = "doc_id", tokens_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in levels],
                        F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("tokens"))
     rows = materialise(rows, "mix-rows")
-    leaves = materialise(rows.groupBy(*levels).agg(F.sum("tokens").alias("avail")), "mix-leaves")
+    leaves = materialise(rows.groupBy(*levels).agg(F.sum("tokens").alias("avail"), F.count(F.lit(1)).alias("n")), "mix-leaves")
     if isinstance(budget, tuple):
         everything = leaves.agg(F.sum("avail")).first()[0] or 0
         budget = everything * budget[0] // budget[1]
@@ -96,13 +98,51 @@ def mix(docs: DataFrame, levels: list[str], id_col: str = "doc_id", tokens_col:
         *levels, F.expr("if(avail > 0, budget div avail, 0)").alias("epochs"), F.expr("if(avail > 0, budget % avail, 0)").alias("rest"))
     plan = materialise(plan, "mix-plan")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epochs").cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = rows.join(plan, levels).withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
+    rows_at_most = leaves.agg(F.max("n")).first()[0] or 0
+    keyed = rows.join(plan, levels).withColumn("key", key).groupBy(*levels, "epochs", "rest", "key", "id", "tokens").agg(F.count(F.lit(1)).alias("n"))
     keyed = materialise(keyed, "mix-keyed")
-    sums = keyed.groupBy(*levels, "range").agg(F.sum("tokens").alias("held"))
-    # at most 4096 ranges per leaf
-    over = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialise(sums.select(*levels, "range", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("ahead")), "mix-starts")
     inside = Window.partitionBy(*levels, "range").orderBy("key", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(starts, [*levels, "range"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    copies = F.col("epochs") + (F.col("before") < F.col("rest")).cast("long")
-    return placed.select(F.col("id").alias(id_col), *levels, F.col("tokens").alias(tokens_col), copies.alias("copies"))
+    starts, digits = _range_starts(keyed, levels, rows_at_most)
+    placed = keyed.withColumn("range", F.substring("key", 1, digits)).join(starts, [*levels, "range"])
+    ahead = F.col("rest") - F.col("ahead") - F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(inside), F.lit(0))
+    # of n alike rows those are taken before which fewer tokens lie than the rest
+    taken = F.when(ahead <= 0, 0).when(F.col("tokens") == 0, F.col("n")).otherwise(F.least("n", F.expr("(room + tokens - 1) div tokens")))
+    counted = placed.withColumn("room", ahead).withColumn("taken", taken)
+    return _each_row(counted).select(F.col("id").alias(id_col), *levels, F.col("tokens").alias(tokens_col), "copies")
+
+
+#: Hex digits that a round of ranges adds, and the rows a last range may have on average.
+_DIGITS, _RANGE_ROWS = 3, 256
+
+
+def _range_starts(keyed: DataFrame, levels: list[str], rows_at_most: int) -> tuple[DataFrame, int]:
+    """(levels, range, ahead): the tokens of a leaf before each range, and the digits of a range.
+
+    No window has more than 4096 rows: a round's ranges are summed up within the range of the round before.
+    """
+    digits = _DIGITS
+    while rows_at_most > _RANGE_ROWS * 16 ** digits and digits < 30:
+        digits += _DIGITS
+    sums = materialise(keyed.groupBy(*levels, F.substring("key", 1, digits).alias("range")).agg(F.sum(F.col("tokens") * F.col("n")).alias("held")), "mix-sums")
+    starts = None
+    for length in range(_DIGITS, digits + 1, _DIGITS):
+        held = sums.groupBy(*levels, F.substring("range", 1, length).alias("range")).agg(F.sum("held").alias("held"))
+        held = held.withColumn("upper", F.substring("range", 1, length - _DIGITS))
+        over = Window.partitionBy(*levels, "upper").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        own = held.select(*levels, "upper", "range", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("ahead"))
+        if starts is not None:
+            above = starts.select(*levels, F.col("range").alias("upper"), F.col("ahead").alias("above"))
+            own = own.join(above, [*levels, "upper"]).withColumn("ahead", F.col("ahead") + F.col("above"))
+        starts = materialise(own.select(*levels, "range", "ahead"), "mix-starts")
+    return starts, digits
+
+
+def _each_row(counted: DataFrame) -> DataFrame:
+    """Rows counted together one by one again, in blocks, so that no row holds all of them."""
+    block = 4096
+    kinds = F.array(F.struct((F.col("epochs") + 1).alias("copies"), F.col("taken").cast("long").alias("n")),
+                    F.struct(F.col("epochs").alias("copies"), (F.col("n") - F.col("taken")).cast("long").alias("n")))
+    split = counted.withColumn("kind", F.explode(F.filter(kinds, lambda k: k["n"] > 0)))
+    split = split.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kind.n") - 1, F.lit(block).cast("long"))))
+    rows = F.least(F.lit(block).cast("long"), F.col("kind.n") - F.col("at"))
+    return split.withColumn("copies", F.col("kind.copies").cast("long")).withColumn("_", F.explode(F.array_repeat(F.lit(0), rows.cast("int"))))

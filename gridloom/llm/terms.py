@@ -2,7 +2,9 @@
 
 Terms are hashed to 2^18 buckets. Of these a fit keeps the buckets whose presence
 is significantly correlated with the rating, so a model is a short table whatever
-the corpus, and a long text does not add up thousands of meaningless weights.
+the corpus, and a long text does not add up thousands of meaningless weights. A
+model of pairs also takes buckets that tell nothing alone but something next to
+another one.
 """
 
 from __future__ import annotations
@@ -109,8 +111,38 @@ class Examples:
             yield x, self.ratings[chosen]
 
 
-def examples(chosen: DataFrame, terms: Terms, whole: Whole, most: int, least_chi2: float) -> Examples:
-    """Read a bounded sample: keep the `most` buckets whose presence correlates best with the rating, and at least with n r^2 >= `least_chi2`."""
+def telling_pairs(held: list[np.ndarray], ratings: np.ndarray, size: int, least_chi2: float, least_docs: int = 5) -> np.ndarray:
+    """Which of `size` terms belong to a pair whose joint presence says more about the rating than both terms apart.
+
+    For each pair the mean ratings of the four kinds of documents (both, one,
+    the other, neither) are compared: their interaction, squared, over its
+    variance has to reach `least_chi2`, and each kind needs `least_docs` documents.
+    """
+    both, rated = np.zeros((size, size)), np.zeros((size, size))
+    for at in range(0, len(held), 512):
+        x = np.zeros((len(held[at:at + 512]), size), np.float32)
+        for row, terms in enumerate(held[at:at + 512]):
+            x[row, terms] = 1
+        both += x.T @ x
+        rated += x.T @ (x * ratings[at:at + 512, None].astype(np.float32))
+    n, s = np.diag(both), np.diag(rated)
+    counts = (both, n[:, None] - both, n[None] - both, len(held) - n[:, None] - n[None] + both)
+    sums = (rated, s[:, None] - rated, s[None] - rated, ratings.sum() - s[:, None] - s[None] + rated)
+    enough = np.minimum.reduce(counts) >= least_docs
+    contrast, variance = np.zeros((size, size)), np.zeros((size, size))
+    for sign, c, r in zip((1, -1, -1, 1), counts, sums):
+        contrast += sign * r / np.maximum(c, 1)
+        variance += ratings.var() / np.maximum(c, 1)
+    return (enough & (contrast ** 2 >= least_chi2 * variance)).any(1)
+
+
+def examples(chosen: DataFrame, terms: Terms, whole: Whole, most: int, least_chi2: float, pair_terms: int = 0, least_pair_chi2: float = 60.0) -> Examples:
+    """Read a bounded sample: keep the `most` buckets whose presence correlates best with the rating, and at least with n r^2 >= `least_chi2`.
+
+    With `pair_terms`, so many buckets which part the sample most evenly, and as
+    many of those kept, are looked at in pairs (`telling_pairs`, at least
+    `least_pair_chi2`); members of telling pairs are kept as well.
+    """
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = WordTable(lambda ws: (buckets(terms(w)).tobytes() for w in ws), 1 << 16)
         found = []
@@ -139,16 +171,25 @@ def examples(chosen: DataFrame, terms: Terms, whole: Whole, most: int, least_chi
     held = map_batches(seen, count, "bucket long, n long, s long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     p = F.col("n") / n
     chi2 = n * F.pow(F.col("s") / n - p * mean, 2) / (p * (1 - p) * spread)
-    best = held.where(F.col("n") < n).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "bucket").limit(most)
-    active = np.array(sorted(r[0] for r in best.select("bucket").collect()), np.uint32)
-
+    some = held.where(F.col("n") < n)
+    best = [r[0] for r in some.withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "bucket").limit(most).select("bucket").collect()]
+    if pair_terms:
+        even = some.orderBy(F.desc(F.col("n") * (n - F.col("n"))), "bucket").limit(pair_terms).select("bucket").collect()
+        tried = np.array(sorted({*best[:pair_terms], *(r[0] for r in even)}), np.uint32)
+        told = telling_pairs(*_narrowed(seen, tried), len(tried), least_pair_chi2) if len(tried) else tried
+        best += [b for b in tried[told].tolist() if b not in set(best)] if len(tried) else []
+    active = np.array(sorted(best), np.uint32)
+    return Examples(active, *_narrowed(seen, active))
+
+
+def _narrowed(seen: DataFrame, active: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The places in `active` of each example's buckets, and the ratings; in an order of their own, so that a fit does not depend on how the rows arrived."""
     def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.flatnonzero(np.isin(active, np.frombuffer(b, np.uint32))).astype(np.uint16).tobytes() for b in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rating", "terms"])
 
-    # in an order of their own, so that a fit does not depend on how the rows arrived
     rows = sorted(map_texts(seen, "rating int, terms binary", narrow).collect(), key=lambda r: (r[0], bytes(r[1])))
-    return Examples(active, [np.frombuffer(r[1], np.uint16).astype(np.int64) for r in rows], np.array([r[0] for r in rows], np.int64))
+    return [np.frombuffer(r[1], np.uint16).astype(np.int64) for r in rows], np.array([r[0] for r in rows], np.int64)
 
 
 def places(active: np.ndarray) -> Callable[[Iterable[bytes]], np.ndarray]:

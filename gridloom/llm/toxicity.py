@@ -32,14 +32,16 @@ class FactorizationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, most_terms: int = 4096,
-        least_chi2: float = 25.0, factors: int = 8, epochs: int = 25, steps: int = 400, penalty: float = 1e-4, seed: int = 11) -> FactorizationMachine:
+        least_chi2: float = 25.0, pair_terms: int = 512, factors: int = 8, epochs: int = 25, steps: int = 400, penalty: float = 1e-4, seed: int = 11) -> FactorizationMachine:
     """Fit on at most `sample_rows` labelled documents; `labels` is (id, 0 or 1).
 
+    Terms are kept that correlate with the label, alone or in a pair; pairs are
+    looked for among the `pair_terms` best and as many most evenly spread terms.
     The sample is gone through `epochs` times, a small one until `steps` batches were seen.
 
     Without labels, or with one label only, the score is that label's share.
     """
-    found = t.examples(t.sample(docs, labels, id_col, text_col, sample_rows), t.word_terms, t.no_terms, most_terms, least_chi2)
+    found = t.examples(t.sample(docs, labels, id_col, text_col, sample_rows), t.word_terms, t.no_terms, most_terms, least_chi2, pair_terms)
     rng = np.random.default_rng(seed)
     share = (found.ratings.sum() + 0.5) / (len(found.ratings) + 1)
     w0, w = np.array([np.log(share / (1 - share))]), np.zeros(len(found.active))

@@ -41,6 +41,30 @@ def test_machine_learns_what_words_mean_together(docs, spark):
     assert [got[i][0].score > 0.5 for i in (1, 2, 3)] == [False, False, True]
 
 
+def test_terms_that_tell_only_together(docs, spark):
+    """Neither word says anything alone: the label is that exactly one of them is there."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = rng.random(2) < 0.5
+        rows.append((i, " ".join(["calm"] + ["vermin"] * int(a) + ["neighbours"] * int(b) + [f"w{x}" for x in rng.integers(0, 200, 8)])))
+        labels.append((i, int(a != b)))
+    known = spark.createDataFrame(labels[:1200], "i long, y int")
+    got = by_id(toxicity.toxicity(docs(rows[1200:]), toxicity.fit(docs(rows[:1200]), known)))
+    assert np.mean([(got[i][0].score >= 0.5) == bool(y) for i, y in labels[1200:]]) >= 0.95
+    alone = toxicity.fit(docs(rows[:1200]), known, pair_terms=0)
+    assert len(alone.active) < 3
+
+
+def test_pairs_of_independent_terms_tell_nothing():
+    rng = np.random.default_rng(6)
+    held = [np.flatnonzero(rng.random(60) < 0.3) for _ in range(2000)]
+    noise = rng.integers(0, 2, 2000)
+    assert not terms.telling_pairs(held, noise, 60, 60.0).any()
+    pair = np.array([int((3 in set(h.tolist())) != (8 in set(h.tolist()))) for h in held])
+    assert np.flatnonzero(terms.telling_pairs(held, pair, 60, 60.0)).tolist() == [3, 8]
+
+
 def test_quality_of_rated_documents(spark, data):
     got, good = by_id(queries.RUNS["op9_quality"](spark, DATA)), rated(data, "quality")
     assert len(got) == data("documents").count()
