@@ -16,21 +16,19 @@ from gridloom.sources import payload, store
 from gridloom.sources import tables as src
 
 S = t.SERIES
-FIVE = ["price", "load", "solar", "wind", "hydro"]
-_MEASURED = "SELECT series_id, ts, " + ", ".join(f"CASE WHEN seen THEN coalesce({c}, 0) END AS {c}" for c in FIVE) + ", renewable_total AS d1 FROM (SELECT *, load_tie IS NOT NULL OR price IS NOT NULL OR solar IS NOT NULL OR wind IS NOT NULL OR hydro IS NOT NULL AS seen FROM gap_grid)"
+CHANNELS = list(dims.PAYLOAD_CODES.values())
+_MEASURED = "SELECT series_id, ts, " + ", ".join(f"CASE WHEN seen THEN coalesce({c}, 0) END AS {c}" for c in CHANNELS) + ", renewable_total AS d1 FROM (SELECT *, load_tie IS NOT NULL OR price IS NOT NULL OR solar IS NOT NULL OR wind IS NOT NULL OR hydro IS NOT NULL AS seen FROM gap_grid)"
 
 
-@query("unnest_series_pivot", ora("SELECT series_id, ts, " + ", ".join(FIVE) + " FROM measured", "gap_grid", measured=_MEASURED))
+@query("unnest_series_pivot", ora("SELECT series_id, ts, " + ", ".join(CHANNELS) + " FROM measured", "gap_grid", measured=_MEASURED))
 def unnest_series_pivot(spark, sf):
-    codes = {k: v for k, v in dims.PAYLOAD_CODES.items() if v in FIVE}
-    return payload.unnest_payload(t.payloads(spark, sf), keys=S, codes=codes, use_fallback=False)
+    return payload.unnest_payload(t.payloads(spark, sf), keys=S, use_fallback=False)
 
 
 @query("fallback_fill", ora(
-    "SELECT series_id, ts, " + ", ".join(f"CASE WHEN ({c} IS NULL OR {c} = 0) AND d1 > 0 THEN d1 ELSE {c} END AS {c}" for c in FIVE) + " FROM measured", "gap_grid", measured=_MEASURED))
+    "SELECT series_id, ts, " + ", ".join(f"CASE WHEN ({c} IS NULL OR {c} = 0) AND d1 > 0 THEN d1 ELSE {c} END AS {c}" for c in CHANNELS) + " FROM measured", "gap_grid", measured=_MEASURED))
 def fallback_fill(spark, sf):
-    codes = {k: v for k, v in dims.PAYLOAD_CODES.items() if v in FIVE}
-    return payload.unnest_payload(t.payloads(spark, sf), keys=S, codes=codes)
+    return payload.unnest_payload(t.payloads(spark, sf), keys=S)
 
 
 @query("valid_rows", ora("SELECT series_id, ts, load FROM measured WHERE load IS NULL OR load > 0", "gap_grid", measured=_MEASURED))

@@ -139,7 +139,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One landed payload per series and day, holding measured and day-ahead series.
+    """One landed payload per series and day, holding measured and day-ahead series of all channels.
 
     A bin with events of other kinds measures 0, a bin without events is null.
     The lists of one payload have at most 96 points.
@@ -152,9 +152,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = lambda c: F.when(F.col("seen").isNotNull(), F.coalesce(F.col(c), F.lit(0.0)))
     codes = {v: k for k, v in dims.PAYLOAD_CODES.items()}
     series = []
-    for c in ("price", "load", "solar", "wind", "hydro"):
-        series.append((codes[c], "realtime", measured(c)))
-        series.append((dims.paired_code(codes[c]), "D-1", F.col("renewable_total")))
+    for c, code in codes.items():
+        series.append((code, "realtime", measured(c)))
+        series.append((dims.paired_code(code), "D-1", F.col("renewable_total")))
     one = lambda code, name, v: F.struct(
         F.lit(code).alias("code"), F.lit(name).alias("name"), label.alias("label"), v.alias("value"), F.col("ts"))
     long = full.select(*SERIES, F.to_date("ts").alias("day"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import dims
@@ -13,7 +13,8 @@ from gridloom.functions import calendar
 from gridloom.operators import daily, quantiles, regular
 from gridloom.plans import features, metrics, quality, splits, training
 from gridloom.session import materialise
-from gridloom.sources import store
+from gridloom.sources import payload, store
+from gridloom.sources.tables import MONTH, month_of
 
 SERIES = ["series_id"]
 GAP_STEPS = 192
@@ -23,6 +24,19 @@ def _next_day(ts: str) -> Column:
     return F.col(ts) + F.expr("INTERVAL 24 HOURS")
 
 
+def land_grid(spark: SparkSession, landed: str, table: str, *, series: Sequence[str] = tuple(SERIES), fetched: str = "fetched",
+              lines: bool = False) -> None:
+    """Unpack landed payloads and merge them into the stored grid, month by month.
+
+    Payloads lie in folders by series and by `fetched`, the number or date of the
+    fetch. Of several fetches of one step the latest stays, also where an older
+    one is landed after it; only the months that the payloads name are rewritten.
+    """
+    keys = [*series, fetched]
+    rows = payload.ingest_payloads(payload.read_payloads(spark, landed, keys, lines), keys=keys)
+    store.write_upsert(rows.withColumn(MONTH, month_of(F.col("ts"))), table, [*series, "ts"], [MONTH], F.col(fetched), versioned=True)
+
+
 def training_frame(grid: DataFrame, obs: DataFrame, *, series: Sequence[str] = tuple(SERIES)) -> tuple[DataFrame, DataFrame]:
     """Grid without rows lacking a price, made regular, and the observed weather."""
     known = grid.where(F.col("price").isNotNull())

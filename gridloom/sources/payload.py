@@ -18,12 +18,15 @@ POINT_SCHEMA = (
 PAYLOAD_SCHEMA = f"code int, data map<string, array<struct<{POINT_SCHEMA}>>>"
 
 
-def read_payloads(spark, path: str) -> DataFrame:
-    """JSON files with a declared schema. A member of `data` that is no list makes
-    that member null and is skipped later."""
-    raw = spark.read.schema("code int, data map<string, string>").option("multiLine", "true").json(path)
+def read_payloads(spark, path: str, keys: Sequence[str] = (), lines: bool = False) -> DataFrame:
+    """JSON files with a declared schema: a payload a file, or with `lines` a payload a line.
+
+    A member of `data` that is no list makes that member null and is skipped
+    later. `keys` are kept columns: the folders (`series_id=1`) files lie in.
+    """
+    raw = spark.read.schema("code int, data map<string, string>").option("multiLine", str(not lines).lower()).json(path)
     lists = F.transform_values("data", lambda _, v: F.from_json(v, f"array<struct<{POINT_SCHEMA}>>"))
-    return raw.where(F.col("code") == 200).select("code", lists.alias("data"))
+    return raw.where(F.col("code") == 200).select(*keys, "code", lists.alias("data"))
 
 
 def _is_day_ahead(code: Column, name: Column) -> Column:

@@ -19,9 +19,27 @@ def cast_channels(df: DataFrame, cols: Sequence[str] = tuple(dims.CHANNELS)) ->
     return df.withColumns({c: col(c).cast("double") for c in cols if c in df.columns})
 
 
-def read_grid(spark: SparkSession, path: str, *, extra: Sequence[str] = ()) -> DataFrame:
-    """Quarter-hour table with the declared channels only; nothing is sorted."""
+#: Partition of a stored grid: year and month as a number such as 202401.
+MONTH = "month"
+
+
+def month_of(ts: Column) -> Column:
+    return F.year(ts) * 100 + F.month(ts)
+
+
+def read_grid(spark: SparkSession, path: str, *, extra: Sequence[str] = (), start: str | None = None, end: str | None = None) -> DataFrame:
+    """Quarter-hour table with the declared channels only; nothing is sorted.
+
+    Of a range (`start` included, `end` not) only the months of the range are
+    opened where the table is partitioned by month.
+    """
     df = spark.read.parquet(path)
+    bound = lambda x: F.lit(x).cast("timestamp_ntz")
+    for limit, cut in ((start, lambda c, x: c >= x), (end, lambda c, x: c <= x)):
+        if limit is not None and MONTH in df.columns:
+            df = df.where(cut(F.col(MONTH), month_of(bound(limit))))
+    df = df if start is None else df.where(F.col("ts") >= bound(start))
+    df = df if end is None else df.where(F.col("ts") < bound(end))
     wanted = ["ts", *extra, *dims.CHANNELS, "day_type"]
     return cast_channels(df.select(*[col(c) for c in wanted if c in df.columns]))
 
