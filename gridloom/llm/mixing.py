@@ -9,7 +9,7 @@ whole subtree is full. All shares are whole tokens, rounded down.
 A leaf with a budget of T tokens and A available gives T div A whole epochs and
 a prefix of one more: its documents in the order of md5("seed:epoch:id"), as
 long as the tokens before a document are fewer than the rest. The prefix is
-found by running totals over hash ranges: 4096 of a leaf, 4096 of each of these
+found by running totals over hash ranges: 256 of a leaf, 256 of each of these
 and so on until a range of the largest leaf has few rows. Rows of one place in
 the order (the same or no id, the same tokens) are counted together, so neither
 a leaf nor an id with a third of all rows ends in one window.
@@ -112,13 +112,13 @@ def mix(docs: DataFrame, levels: list[str], id_col: str = "doc_id", tokens_col:
 
 
 #: Hex digits that a round of ranges adds, and the rows a last range may have on average.
-_DIGITS, _RANGE_ROWS = 3, 256
+_DIGITS, _RANGE_ROWS = 2, 256
 
 
 def _range_starts(keyed: DataFrame, levels: list[str], rows_at_most: int) -> tuple[DataFrame, int]:
     """(levels, range, ahead): the tokens of a leaf before each range, and the digits of a range.
 
-    No window has more than 4096 rows: a round's ranges are summed up within the range of the round before.
+    No window has more than 256 rows: a round's ranges are summed up within the range of the round before.
     """
     digits = _DIGITS
     while rows_at_most > _RANGE_ROWS * 16 ** digits and digits < 30:

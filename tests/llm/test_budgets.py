@@ -50,7 +50,7 @@ WEIGHTS = {"domain": {"a": 1, "b": 2, "c": 50}, "source": {"s1": 3}}
 @pytest.mark.parametrize("budget", [0, 1, 500, 3000, 9000, 10 ** 6])
 def test_mixture_by_hand(spark, monkeypatch, budget):
     """Shortages go to siblings before ancestors; nulls, repeated rows and one id with a third of all rows included."""
-    monkeypatch.setattr(mixing, "_RANGE_ROWS", 0.02)  # three rounds of ranges
+    monkeypatch.setattr(mixing, "_RANGE_ROWS", 0.0002)  # three rounds of ranges
     docs = spark.createDataFrame(ROWS, "doc_id long, domain string, source string, n_tokens long")
     got = mixing.mix(docs, ["domain", "source"], weights=WEIGHTS, budget=budget, max_epochs=2, seed=3)
     assert Counter(tuple(r) for r in got.select("doc_id", "domain", "source", "n_tokens", "copies").collect()) == by_hand(ROWS, WEIGHTS, budget, 2, 3)
