@@ -57,7 +57,8 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     table.
     """
     host, slots, left = free_names(pages, "_host", "_slots", "_left")
-    found = materialise(line_tables(boilerplate_lines(pages, host_col, text_col, ratio, min_pages)), "boilerplate")
+    lines = materialise(boilerplate_lines(pages, host_col, text_col, ratio, min_pages).select("host", "line"), "boilerplate-lines")
+    found = materialise(line_tables(lines), "boilerplate")
     drop = found.select(F.col("host").alias(host), F.col("slots").alias(slots))
     joined = pages.join(drop, F.col(host_col) == F.col(host), "left")
     parts = F.split(text_col, "\n")
