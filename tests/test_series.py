@@ -50,6 +50,25 @@ def test_densify_and_ffill_cross_chunks(series, chunk_days):
     assert column(twice, "x") == expect
 
 
+def test_grid_of_binned_rows_repeats_no_time_arithmetic_per_row(spark):
+    """The join on chunks asks no row below the aggregate whether it has one."""
+    rows = spark.createDataFrame([(i % 2, at(7 * i), float(i)) for i in range(40)], "series_id int, t timestamp_ntz, x double")
+    binned = regular.bin_rows(rows.withColumn("ts", F.col("t") + F.make_dt_interval(F.col("series_id"))), {"x": F.sum("x")}, series=S)
+    for df in (regular.densify(binned, series=S), regular.regularize(binned, series=S), regular.ffill(binned, ["x"], series=S)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "hour(" in line]
+
+
+def test_rows_without_a_time_give_no_step(spark):
+    rows = [(1, at(0), 1.0), (1, None, 7.0), (1, at(2), None), (1, at(9000), 3.0), (2, None, 8.0), (None, at(1), 9.0)]
+    df = spark.createDataFrame(rows, "series_id int, ts timestamp_ntz, x double")
+    full = regular.densify(df, series=S, chunk_days=1)
+    assert full.where("series_id = 1 AND x = 1.0").count() == 9000 and full.count() == 9001
+    assert regular.regularize(df, series=S, chunk_days=1).where("x is not null").count() == 2
+    filled = {(r.series_id, r.ts): r.x for r in regular.ffill(df, ["x"], series=S, chunk_days=1).collect()}
+    assert filled == {(1, at(0)): 1.0, (1, None): 7.0, (1, at(2)): 1.0, (1, at(9000)): 3.0, (2, None): 8.0, (None, at(1)): 9.0}
+
+
 def test_ffill_limit_crosses_chunk_border(series):
     df = series({1: [1.0] + [None] * 5}, start=datetime(2024, 1, 1, 23, 30))
     out = regular.ffill(df, ["x"], series=S, limit=3, chunk_days=1)
