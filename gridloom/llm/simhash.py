@@ -159,7 +159,8 @@ def _tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose sets of shingles overlap by at least `similarity`; `texts` is (id, text)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # written, so that the join knows how few they are: it need not shuffle all texts to find theirs
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     held = texts.select("id", "text").join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     both = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
@@ -188,8 +189,9 @@ def _unsettled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
         held = posts.select("list", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree"))
         lists = held.groupBy("list").agg(F.max("node").alias("top"), (F.count(F.lit(1)) - 1).alias("outside"))
     else:
-        held = posts.select("list", "node").join(labels, "node", "left").select(
-            "list", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        # read twice below: written once, else the joins that made it run twice in every round
+        held = materialise(posts.select("list", "node").join(labels, "node", "left").select(
+            "list", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "members")
         shares = held.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
         lists = shares.groupBy("list").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
             "list", F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("outside"))
