@@ -15,8 +15,10 @@ before are looked up in a bounded table.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from string import ascii_letters
+from struct import pack as packed
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -33,7 +35,15 @@ if TYPE_CHECKING:  # its import costs a worker memory that only the placing ones
 
 
 #: ASCII signs but for the apostrophe and `<`.
-_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
+def _keeps_letters(tokenizer) -> bool:
+    """Whether a word of ASCII letters reaches the model of a tokenizer whole and only lower-cased."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or any(t.content.isalpha() for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    normal = tokenizer.normalizer.normalize_str(ascii_letters)
+    return normal == ascii_letters.lower() and [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal)] == [normal]
 
 
 @lru_cache(maxsize=2)
@@ -49,27 +59,36 @@ def word_tokens(path: str, table_words: int) -> WordTable:
         for e in tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield np.asarray(e.ids, "<u4").tobytes()
 
-    of_signs = lru_cache(maxsize=1 << 12)(lambda signs: b"".join(one_by_one([signs])) if signs else b"")
+    of_signs = lru_cache(maxsize=1 << 12)(lambda signs: b"".join(one_by_one([signs.decode()])) if signs else b"")
 
-    def encode(words: list[bytes]) -> list[bytes]:
-        """Words of letters go in one call, joined by blanks and parted at the vocabulary's mark of a word's end; a call costs more than a word.
+    bare, straight = tokenizer.model.tokenize, _keeps_letters(tokenizer)
 
-        Signs after the letters are a part of their own to the tokenizer; an
+    def of_letters(words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters: those of plain letters straight from the model, others in one call, parted at the vocabulary's mark of a word's end."""
+        known = {}
+        if straight:
+            for w in filter(bytes.isalpha, words):
+                ids = [t.id for t in bare(w.decode().lower())]
+                known[w] = packed(f"<{len(ids)}I", *ids)
+            words = [w for w in words if w not in known]
+        if words:
+            (e,) = tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4")
+            until = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(until) == len(words):  # unless lower-casing made something else than letters
+                known.update((w, ids[i:j].tobytes()) for w, i, j in zip(words, [0, *until], until))
+        return known
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        """Signs after the letters are a part of their own to the tokenizer; an
         apostrophe may begin an ending and `<` a special token, so these are
         not taken off.
         """
-        texts = [w.decode() for w in words]
-        heads = [t.rstrip(_SIGNS) for t in texts]
-        letters, known = list({h for h in heads if h.isalpha()}), {}
-        if letters:
-            (e,) = tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4")
-            until = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(until) == len(letters):  # unless lower-casing made something else than letters
-                known = {t: ids[i:j].tobytes() for t, i, j in zip(letters, [0, *until], until)}
-        rest = [t for t, h in zip(texts, heads) if h not in known]
-        whole = dict(zip(rest, one_by_one(rest)))
-        return [whole[t] if t in whole else known[h] + of_signs(t[len(h):]) for t, h in zip(texts, heads)]
+        heads = [w.rstrip(_SIGNS) for w in words]
+        known = of_letters([h for h in set(heads) if h.isalpha() or not h.isascii() and h.decode().isalpha()])
+        rest = [w for w, h in zip(words, heads) if h not in known]
+        whole = dict(zip(rest, one_by_one([w.decode() for w in rest])))
+        return [whole[w] if w in whole else known[h] + of_signs(w[len(h):]) for w, h in zip(words, heads)]
 
     return WordTable(encode, table_words)
 
