@@ -60,13 +60,14 @@ def test_grid_of_binned_rows_repeats_no_time_arithmetic_per_row(spark):
 
 
 def test_rows_without_a_time_give_no_step(spark):
-    rows = [(1, at(0), 1.0), (1, None, 7.0), (1, at(2), None), (1, at(9000), 3.0), (2, None, 8.0), (None, at(1), 9.0)]
+    rows = [(1, at(0), 1.0), (1, None, 7.0), (1, at(2), None), (1, at(9000), 3.0), (2, None, 8.0), (3, None, 5.0), (3, at(1), None), (None, at(1), 9.0)]
     df = spark.createDataFrame(rows, "series_id int, ts timestamp_ntz, x double")
     full = regular.densify(df, series=S, chunk_days=1)
-    assert full.where("series_id = 1 AND x = 1.0").count() == 9000 and full.count() == 9001
+    assert full.where("series_id = 1 AND x = 1.0").count() == 9000 and full.count() == 9002
+    assert [tuple(r) for r in full.where("series_id = 3").collect()] == [(3, at(1), 5.0)]
     assert regular.regularize(df, series=S, chunk_days=1).where("x is not null").count() == 2
     filled = {(r.series_id, r.ts): r.x for r in regular.ffill(df, ["x"], series=S, chunk_days=1).collect()}
-    assert filled == {(1, at(0)): 1.0, (1, None): 7.0, (1, at(2)): 1.0, (1, at(9000)): 3.0, (2, None): 8.0, (None, at(1)): 9.0}
+    assert filled == {(1, at(0)): 1.0, (1, None): 7.0, (1, at(2)): 1.0, (1, at(9000)): 3.0, (2, None): 8.0, (3, None): 5.0, (3, at(1)): 5.0, (None, at(1)): 9.0}
 
 
 def test_ffill_limit_crosses_chunk_border(series):
