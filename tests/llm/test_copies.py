@@ -181,6 +181,21 @@ def test_copies_of_one_original_each_edited_on_its_own(docs):
     assert [i for i in ids if got[i] != want[i]] == []
 
 
+def test_members_of_a_round_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    posts = spark.range(24).selectExpr("id % 3 AS list", "id AS node").mapInArrow(counted, "list long, node long")
+    labels = spark.createDataFrame([(i, 0, 2) for i in range(0, 24, 3)] + [(1, 4, 1), (4, 4, 1)], "node long, label long, degree long")
+    got = simhash._unsettled(posts, labels)
+    assert seen.value == 24
+    assert Counter((r.list, r.top, r.outside) for r in got.collect()) == {(1, 4, 6): 8, (2, 23, 7): 8}
+
+
 def test_equal_fingerprints_of_different_texts_are_no_link(docs):
     """A cycle repeated over most of a text decides the fingerprint; only texts that share their shingles are copies."""
     rng = random.Random(13)
