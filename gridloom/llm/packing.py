@@ -126,7 +126,7 @@ def _unsqueeze(placed: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-           table_words: int = 1 << 18, squeeze: bool = False) -> DataFrame:
+           table_words: int = 1 << 19, squeeze: bool = False) -> DataFrame:
     """(id, piece, start, length, ids) of every document; `ids` are little-endian unsigned 32-bit numbers, or `squeezed` ones."""
     size, end, kept = 4 * capacity, np.asarray([end_id], "<u4").tobytes(), squeezed if squeeze else bytes
 
@@ -187,7 +187,7 @@ def place(cut: DataFrame, capacity: int = 2048, group_rows: int = 50_000, by: Se
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-         group_rows: int = 50_000, digest: bool = False, table_words: int = 1 << 18) -> DataFrame:
+         group_rows: int = 50_000, digest: bool = False, table_words: int = 1 << 19) -> DataFrame:
     """Pieces of all documents with their place: (id, piece, start, length, ids, sequence_id, offset).
 
     `table_words` trades the memory of a worker for time; it changes no result.

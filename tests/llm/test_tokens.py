@@ -10,7 +10,7 @@ import regex
 import tiktoken
 from by_hand import DATA, by_id
 
-from gridloom.llm import byte_bpe, queries
+from gridloom.llm import byte_bpe, packing, queries
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPLIT = regex.compile(public_tokenizers.PATTERN)
@@ -113,3 +113,16 @@ def test_edited_tables(spark, docs, library):
         assert (r.cuts, r.last) == (u4(whole.cuts), u4(whole.last))
     assert {r.text for r in got[3]} == {"abcdef", "abc"} and got[None][0].text == "no id" and got[2][0].text == "new text"
     assert sorted(r.text for r in got[1]) == sorted([long + "appended", long[:70_000] + "x" + long[70_004:]]) and all(r.n_fresh < 40 for r in got[1])
+
+
+def test_plain_words_go_straight_to_the_model():
+    """The ids are those of the whole tokenizer; one that changes or cuts words of letters is asked as a whole."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, table = Tokenizer.from_file(path), packing.word_tokens(path, 1 << 10)
+    assert packing._keeps_letters(whole)
+    for text in ("Plain words, in a ROW. and and", "don't we'RE 'S s' ll <|endoftext|> a<b> x1). it's (and) a-b", "İstanbul Straße ÉCOLE! ﬁ ſ é. 日本語", "", ",,"):
+        assert np.frombuffer(table.lookup(text.encode().split()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    whole.pre_tokenizer = pre_tokenizers.Split("e", "isolated")
+    assert not packing._keeps_letters(whole)
