@@ -189,7 +189,7 @@ def _unsettled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
         held = posts.select("list", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree"))
         lists = held.groupBy("list").agg(F.max("node").alias("top"), (F.count(F.lit(1)) - 1).alias("outside"))
     else:
-        # read twice below: written once, else the joins that made it run twice in every round
+        # read twice below: written once, so that the joins that make it need not run for each reader
         held = materialise(posts.select("list", "node").join(labels, "node", "left").select(
             "list", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "members")
         shares = held.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))

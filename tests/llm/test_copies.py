@@ -182,6 +182,7 @@ def test_copies_of_one_original_each_edited_on_its_own(docs):
 
 
 def test_members_of_a_round_are_made_once(spark):
+    """Spark may share the work between the two readers by itself; here it need not."""
     seen = spark.sparkContext.accumulator(0)
 
     def counted(batches):
