@@ -30,7 +30,7 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes, each_bytes, map_batches, map_texts
@@ -46,6 +46,11 @@ SKETCH, ROWS = 120, 6
 _SCALE = np.random.default_rng(SEED).integers(0, 1 << 32, SKETCH, np.uint32) | np.uint32(1)
 _SHIFT = np.random.default_rng(SEED + 1).integers(0, 1 << 32, SKETCH, np.uint32)
 
+#: A list with more members is a crowd; it goes to the rare shingles after so many rounds.
+CROWD, ROUNDS = 64, 3
+#: Ratio of the sizes within a class of sizes.
+_CLASS = 1 + 1 / 32
+
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
     """XXH64 of all shingles of a text in blocks, repeats included; none for a text without words."""
@@ -180,21 +185,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return map_batches(both, run, "a long, b long")
 
 
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, size, h): the set of shingles of each text of (id, text), and how many they are."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), each_bytes(batch.column(1))):
+                held = np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, shingle)])).view("<i8")
+                for at in range(0, len(held), _BLOCK):
+                    part = held[at:at + _BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x)) for x in (node, len(held))] + [pa.array(part)], ["node", "size", "h"])
+    return map_batches(texts, run, "node long, size long, h long")
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members with different labels, one of them outside, without losing one that overlaps by `similarity`.
+
+    `members` is (node, label, outside). Two sets of x and y shingles overlap by
+    `similarity` when they share `similarity / (1 + similarity)` of x + y. Both
+    are put in one order, the rarest shingle first: so many shingles must then
+    follow the first shared one in either set, itself included, which places it
+    among the first of both. Members are therefore joined on these few, which
+    are mostly held by one member alone, not on what the crowd has in common.
+    How few depends on the other's size: the larger set of a pair is posted for
+    each class of sizes that the smaller may have.
+    """
+    part = similarity / (1 + similarity)
+    ids = materialise(members.groupBy("node").agg(F.max("label").alias("label"), F.max("outside").alias("outside")), "crowd")
+    held = texts.select("id", "text").join(ids.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    sets = _shingle_sets(held, shingle).withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    sets = sets.withColumn("left", F.col("size") + 1 - F.row_number().over(Window.partitionBy("node").orderBy("holders", "h")))
+    # the smallest size that the other can have leaves the most to be looked up
+    first = sets.where((F.col("holders") > 1) & (F.col("left") >= part * (1 + similarity) * F.col("size") - 1e-6)).select("node", "size", "h", "left")
+    first = materialise(first.join(ids, "node"), "rare")
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(size) / F.log(F.lit(_CLASS))).cast("int")
+    size, left = F.col("size"), F.col("left")
+    small = first.where(left >= 2 * part * size - 1e-6).withColumn("class", size_class(size))
+    least = F.greatest(F.lit(1), F.floor(similarity * size - 1e-6))
+    large = first.withColumn("class", F.explode(F.sequence(size_class(least), size_class(size))))
+    large = large.where(left >= part * (size + F.greatest(least, F.floor(F.pow(F.lit(_CLASS), F.col("class"))) - 1)) - 1e-6)
+    x, y = small.alias("x"), large.alias("y")
+    both = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.size") <= F.col("y.size")) & (F.col("x.label") != F.col("y.label"))
+    both &= F.least("x.left", "y.left") >= part * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = x.where("outside").join(y, both).select("x.node", F.col("y.node").alias("other")).unionByName(
+        x.where("not outside").join(y.where("outside"), both).select("x.node", F.col("y.node").alias("other")))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def _unsettled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(list, node, label, degree, top, outside) of lists whose members have several labels.
+    """(list, node, label, degree, top, outside, members) of lists whose members have several labels.
 
     `top` is the label most members of a list have, `outside` counts those with another one.
     """
     if labels is None:
         held = posts.select("list", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree"))
-        lists = held.groupBy("list").agg(F.max("node").alias("top"), (F.count(F.lit(1)) - 1).alias("outside"))
+        lists = held.groupBy("list").agg(F.max("node").alias("top"), (F.count(F.lit(1)) - 1).alias("outside"), F.count(F.lit(1)).alias("members"))
     else:
         # read twice below: written once, so that the joins that make it need not run for each reader
         held = materialise(posts.select("list", "node").join(labels, "node", "left").select(
             "list", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "members")
         shares = held.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
         lists = shares.groupBy("list").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
-            "list", F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("outside"))
+            "list", F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("outside"), F.col("n").alias("members"))
     return materialise(held.join(lists.where("outside > 0"), "list"), "postings")
 
 
@@ -221,34 +274,46 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     links so far (the original of many copies) and members outside the largest
     connected part: one in the first round, then about twice as many each time,
     so the rounds grow with the logarithm of the members that are similar to none.
+
+    Members of a crowd that are similar to none would so meet all others. A
+    crowd has two leaders a round and order, which finds its originals; those
+    still outside after some rounds are compared with the members that share a
+    rare shingle with them (`_rare_pairs`), which settles the list.
     """
     spark = nodes.sparkSession
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + ROWS * k, ROWS)) for k in range(SKETCH // ROWS)])
     labels = None
     posts = _unsettled(nodes.select("node", F.explode(keys).alias("list")), labels)
     least = _least_shared(similarity)
-    found, more = spark.createDataFrame([], "a long, b long"), 0
+    found, more, rounds = spark.createDataFrame([], "a long, b long"), 0, 0
     seen = found
+    outside, crowded = F.col("label") != F.col("top"), F.col("members") > CROWD
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal seen, found, labels
+        near = materialise(_tallied(pairs.join(seen, ["a", "b"], "left_anti"), nodes, least), "tallied")
+        seen = seen.unionByName(near)
+        found = materialise(found.unionByName(_verified(near, texts, shingle, similarity)), "similar")
+        labels = _labels(found, labels)
+
     while not posts.isEmpty():
         # four orders of the nodes, so that not all lists of a group have the same leaders
         order = F.xxhash64(F.pmod("list", F.lit(4)), "node")
-        outside = F.col("label") != F.col("top")
         ends = posts.groupBy("list").agg(F.max(F.struct("degree", order.alias("o"), "node", "label")).alias("x"),
                                          F.min(F.when(outside, F.struct(order.alias("o"), "node", "label"))).alias("y"))
         pick = [F.struct(F.col(f"{e}.node").alias("leader"), F.col(f"{e}.label").alias("led")) for e in "xy"]
         leaders = ends.select("list", F.inline(F.array(*pick)))
         if more:
-            chosen = posts.where(outside & (F.pmod(order, F.col("outside")) < more))
+            chosen = posts.where(~crowded & outside & (F.pmod(order, F.col("outside")) < more))
             leaders = leaders.unionByName(chosen.select("list", F.col("node").alias("leader"), F.col("label").alias("led")))
         leaders = leaders.distinct()
         met = posts.join(leaders, "list").where("leader <> node and led <> label")
-        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        near = materialise(_tallied(pairs, nodes, least), "tallied")
-        seen = seen.unionByName(near)
-        found = materialise(found.unionByName(_verified(near, texts, shingle, similarity)), "similar")
-        labels = _labels(found, labels)
+        compare(met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
         posts = _unsettled(posts.join(leaders.select("list", F.col("leader").alias("node")), ["list", "node"], "left_anti"), labels)
-        more = 2 * more or 4
+        more, rounds = 2 * more or 4, rounds + 1
+        if rounds == ROUNDS and not (crowds := posts.where(crowded)).isEmpty():
+            compare(_rare_pairs(crowds.select("node", "label", outside.alias("outside")), texts, shingle, similarity))
+            posts = _unsettled(posts.where(~crowded), labels)
     return found
 
 

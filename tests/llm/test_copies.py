@@ -181,6 +181,54 @@ def test_copies_of_one_original_each_edited_on_its_own(docs):
     assert [i for i in ids if got[i] != want[i]] == []
 
 
+def edited(rng, words, edits):
+    """Words with that many places replaced, deleted or added to, each by a word of a small vocabulary."""
+    out = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(out))
+        out[i:i + 1] = rng.choice([[f"v{rng.randrange(400)}"], [], [out[i], f"v{rng.randrange(400)}"]])
+    return out
+
+
+def test_crowds_are_not_compared_pair_by_pair(spark, docs, monkeypatch):
+    """Copies edited so much that most are similar to none, some only to an edited one: all links, few pairs."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(150)]
+    texts = [base] + [edited(rng, base, rng.randrange(1, 9)) for _ in range(400)]
+    texts += [edited(rng, rng.choice(texts[1:]), rng.randrange(1, 3)) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles_by_hand(t, 5) for _, t in rows]
+    want = components([(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(len(rows)))
+    compared, tallied = [], simhash._tallied
+
+    def counted(pairs, nodes, least):
+        compared.append(pairs.count())
+        return tallied(pairs, nodes, least)
+
+    monkeypatch.setattr(simhash, "_tallied", counted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows)).collect()}
+    alone = sum(n == 1 for n in Counter(want.values()).values())
+    assert alone > 100 and got == want
+    assert sum(compared) < alone * len(rows) / 2
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_rare_shingles_lose_no_pair(docs, similarity):
+    rng = random.Random(int(similarity * 10))
+    base = [f"w{i}" for i in range(60)]
+    texts = [edited(rng, base[:rng.randrange(8, 61)], rng.randrange(0, 4)) for _ in range(150)] + [base[:n] for n in (0, 1, 4, 5, 6, 7, 50, 60)]
+    rows = [(i, " ".join(t).upper()) for i, t in enumerate(texts)]
+    sets = [shingles_by_hand(t, 5) for _, t in rows]
+    members = [(i, rng.choice([i, -1]), rng.random() < 0.7) for i in range(len(rows))]
+    want = {(a, b) for b in range(len(rows)) for a in range(b)
+            if sets[a] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and members[a][1] != members[b][1] and (members[a][2] or members[b][2])}
+    d = docs(rows)
+    got = simhash._rare_pairs(d.sparkSession.createDataFrame(members, "node long, label long, outside boolean"),
+                              d.select(d.doc_id.alias("id"), "text"), 5, similarity).collect()
+    assert len(want) >= 10 and want <= {(r.a, r.b) for r in got} and len(got) == len(set(got))
+    assert all(members[r.a][1] != members[r.b][1] for r in got)
+
+
 def test_members_of_a_round_are_made_once(spark):
     """Spark may share the work between the two readers by itself; here it need not."""
     seen = spark.sparkContext.accumulator(0)
