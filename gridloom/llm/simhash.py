@@ -99,6 +99,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5)
     return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, fp long", run)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The same for a join that is to shuffle it.
+
+    Spark takes an exploded table to be as small as the one it was made from, and
+    columns that compress well to be as small as their file: it would send
+    millions of postings through the driver to broadcast them.
+    """
+    return df.hint("merge")
+
+
 def fingerprint_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """Pairs (a, b) of nodes whose fingerprints differ in at most `max_bits` bits.
 
@@ -109,7 +119,7 @@ def fingerprint_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     masks = [sum(255 << 8 * i for i in chosen) for chosen in combinations(range(BYTES), least)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
-    posts = nodes.select("node", "fp", F.inline(lists))
+    posts = _shuffled(nodes.select("node", "fp", F.inline(lists)))
     x, y = posts.alias("x"), posts.alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     tally = sum((differ.bitwiseAND(F.lit((255 << 8 * i) - (1 << 64) if i == 7 else 255 << 8 * i).cast("long")) == 0).cast("int") for i in range(BYTES))

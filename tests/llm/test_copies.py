@@ -115,6 +115,17 @@ def test_index_finds_every_link(spark, bits):
     assert got == {(a, b) for b in range(len(order)) for a in range(b) if (order[a] ^ order[b]).bit_count() <= bits}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_fingerprints_are_not_broadcast(spark):
+    """Spark takes 28 postings a node to be as small as the node."""
+    nodes = spark.range(50).selectExpr("id AS node", "id * 7919 AS fp")
+    links = simhash.fingerprint_links(nodes, 2)
+    assert "Broadcast" not in plan(links) and "SortMergeJoin" in plan(links)
+
+
 def test_simhash_odd_rows(odd, docs):
     got = by_id(simhash.near_duplicates(odd, shingle=3, max_bits=2))
     assert [r.fp for i in (1, 2, 3, 7) for r in got[i]] == [0] * 4 and {r.component_id for i in (1, 2, 3, 7) for r in got[i]} == {1}
