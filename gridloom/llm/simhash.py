@@ -235,7 +235,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, shingle: int, similarity:
     least = F.greatest(F.lit(1), F.floor(similarity * size - 1e-6))
     large = first.withColumn("class", F.explode(F.sequence(size_class(least), size_class(size))))
     large = large.where(left >= part * (size + F.greatest(least, F.floor(F.pow(F.lit(_CLASS), F.col("class"))) - 1)) - 1e-6)
-    x, y = small.alias("x"), large.alias("y")
+    x, y = _shuffled(small).alias("x"), _shuffled(large).alias("y")
     both = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.size") <= F.col("y.size")) & (F.col("x.label") != F.col("y.label"))
     both &= F.least("x.left", "y.left") >= part * (F.col("x.size") + F.col("y.size")) - 1e-6
     met = x.where("outside").join(y, both).select("x.node", F.col("y.node").alias("other")).unionByName(
@@ -258,7 +258,7 @@ def _unsettled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
         shares = held.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
         lists = shares.groupBy("list").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
             "list", F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("outside"), F.col("n").alias("members"))
-    return materialise(held.join(lists.where("outside > 0"), "list"), "postings")
+    return materialise(_shuffled(held).join(lists.where("outside > 0"), "list"), "postings")
 
 
 def _labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -317,7 +317,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
             chosen = posts.where(~crowded & outside & (F.pmod(order, F.col("outside")) < more))
             leaders = leaders.unionByName(chosen.select("list", F.col("node").alias("leader"), F.col("label").alias("led")))
         leaders = leaders.distinct()
-        met = posts.join(leaders, "list").where("leader <> node and led <> label")
+        met = _shuffled(posts).join(leaders, "list").where("leader <> node and led <> label")
         compare(met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
         posts = _unsettled(posts.join(leaders.select("list", F.col("leader").alias("node")), ["list", "node"], "left_anti"), labels)
         more, rounds = 2 * more or 4, rounds + 1

@@ -126,6 +126,21 @@ def test_postings_of_fingerprints_are_not_broadcast(spark):
     assert "Broadcast" not in plan(links) and "SortMergeJoin" in plan(links)
 
 
+def test_postings_of_sketches_are_not_broadcast(docs, monkeypatch):
+    """No exploded table of the similarity stage goes through the driver: lists of nodes, classes of sizes, members of a round."""
+    plans, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: plans.append((name, plan(df))) or write(df, name))
+    d = docs([(i, f"a b c d e f g h {i % 4}") for i in range(30)])
+    texts = d.selectExpr("doc_id AS id", "text")
+    simhash._unsettled(texts.selectExpr("id AS node", "explode(array(1L, 2L)) AS list"), None)
+    pairs = simhash._rare_pairs(texts.selectExpr("id AS node", "id AS label", "true AS outside"), texts, 5, 0.8)
+    assert [n for n, _ in plans] == ["postings", "crowd", "rare"] and "Broadcast" not in plans[0][1] + plan(pairs)
+    plans.clear()
+    simhash.similar_links(simhash.profiles(d, "doc_id", "text", 5).selectExpr("id AS node", "sketch").dropDuplicates(["sketch"]), texts, 5, 0.8)
+    met = next(p for n, p in plans if n == "tallied")
+    assert "SortMergeJoin [list" in met and "BroadcastHashJoin [list" not in met
+
+
 def test_simhash_odd_rows(odd, docs):
     got = by_id(simhash.near_duplicates(odd, shingle=3, max_bits=2))
     assert [r.fp for i in (1, 2, 3, 7) for r in got[i]] == [0] * 4 and {r.component_id for i in (1, 2, 3, 7) for r in got[i]} == {1}
