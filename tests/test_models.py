@@ -224,6 +224,27 @@ def test_model_queries_fit_all_folds_and_rows(spark, monkeypatch):
     assert sorted(rows) == days and rows["2024-06-29"].is_rolling and not rows["2024-06-20"].is_rolling and rows["2024-12-31"].split is None
 
 
+@pytest.mark.parametrize("name", ["oof_predict"])
+def test_model_queries_fit_all_trees(spark, monkeypatch, name):
+    """Both stages are fitted with the original number of trees."""
+    from gridloom.bindings import q_models
+
+    frame = spark.createDataFrame([(1, "a", 1)], "series_id int, ts string, period int")
+    used = []
+    monkeypatch.setattr(q_models, "_DONE", {})
+    monkeypatch.setattr(q_models, "year_features", lambda *_: frame)
+    monkeypatch.setattr(q_models, "labelled", lambda *_: frame)
+    for step in ("train_stage1", "train_stage2"):
+        monkeypatch.setattr(training, step, lambda df, settings: used.append(settings) or ({}, frame.select("series_id", "ts")))
+    for module, step in ((metrics, "forecast_metrics"), (training, "guard_decision"), (training, "rolling_scores"), (training, "two_stage_predict")):
+        monkeypatch.setattr(module, step, lambda *_, **__: None)
+    monkeypatch.setattr(q_models, "segment_of", lambda *_: F.lit("base"))
+    getattr(q_models, name)(spark, "whole")
+    full = training.Settings()
+    assert len(used) == (1 if name == "oof_predict" else 2)
+    assert all((s.stage1, s.stage2, s.forest, s.stage1_folds, s.stage2_folds) == (full.stage1, full.stage2, full.forest, full.stage1_folds, full.stage2_folds) for s in used)
+
+
 def test_rows_that_lack_an_input_are_scored_as_unknown(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import GBTRegressor
