@@ -224,7 +224,7 @@ def test_model_queries_fit_all_folds_and_rows(spark, monkeypatch):
     assert sorted(rows) == days and rows["2024-06-29"].is_rolling and not rows["2024-06-20"].is_rolling and rows["2024-12-31"].split is None
 
 
-@pytest.mark.parametrize("name", ["oof_predict", "stage2_train"])
+@pytest.mark.parametrize("name", ["oof_predict", "stage2_train", "two_stage_predict"])
 def test_model_queries_fit_all_trees(spark, monkeypatch, name):
     """Both stages are fitted with the original number of trees."""
     from gridloom.bindings import q_models
